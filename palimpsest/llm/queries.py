@@ -1,10 +1,14 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
 from palimpsest.llm.html_extract import op3_html_extraction
+from palimpsest.llm.langid import op5_language_id
+from palimpsest.llm.secrets import op4_secret_scans
 from palimpsest.llm.warc import op6_warc
 
 QUERIES = {
     "op3_html_extraction": op3_html_extraction,
+    "op4_secret_scans": op4_secret_scans,
+    "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
 }
 

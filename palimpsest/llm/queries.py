@@ -1,5 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
+from palimpsest.llm.ann import op10_nearest_neighbours
 from palimpsest.llm.html_extract import op3_html_extraction
 from palimpsest.llm.langid import op5_language_id
 from palimpsest.llm.secrets import op4_secret_scans
@@ -10,6 +11,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -23,54 +23,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import ship_by_value, table
+from palimpsest.llm.hashindex import HashIndex
 
 ship_by_value(__name__)
 
 ORDER = 4
 PER_LANGUAGE, TRAIN_ROWS, TRAIN_CHARS = 256, 4096, 20_000
 SLICE = 1 << 21
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
 
-class Grams:
-    """Map from packed byte strings to row numbers: keys by hash, with an index over the hash's leading bits."""
-
-    def __init__(self, keys: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(len(keys) * 2).bit_length()))
-        hashed = keys * MULTIPLIER
-        self.row = np.argsort(hashed, kind="stable").astype(np.int32)
-        self.hashed = hashed[self.row]
-        self.start = np.searchsorted(self.hashed >> self.shift, np.arange((1 << int(np.uint64(64) - self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, -1 where there is none."""
-        if not len(self.hashed):
-            return np.full(len(keys), -1, np.int32)
-        hashed = keys * MULTIPLIER
-        slot = (hashed >> self.shift).astype(np.int64)
-        at, end = self.start[slot], self.start[slot + 1]
-        top = len(self.hashed) - 1
-        hit = (self.hashed[np.minimum(at, top)] == hashed) & (at < end)
-        out = np.where(hit, self.row[np.minimum(at, top)], np.int32(-1))
-        left = np.flatnonzero(~hit & (at + 1 < end))
-        while len(left):
-            at[left] += 1
-            hit = self.hashed[at[left]] == hashed[left]
-            out[left[hit]] = self.row[at[left[hit]]]
-            left = left[~hit]
-            left = left[at[left] + 1 < end[left]]
-        return out
-
-
 class Model:
     """Code lengths of every byte string seen, by order and language; escapes of every context seen."""
 
     def __init__(self, languages: list[str], order: int):
         self.languages, self.order = languages, order
-        self.grams: list[Grams] = []
+        self.grams: list[HashIndex] = []
         self.cost: list[np.ndarray] = []
-        self.contexts: list[Grams] = []
+        self.contexts: list[HashIndex] = []
         self.escape: list[np.ndarray] = []
 
 
@@ -113,9 +83,9 @@ def train(samples: dict[str, list[str]], order: int = ORDER) -> Model:
                 escape[:, x] = np.where(total > 0, np.log2((total + distinct) / distinct), 0)
             cost[:, x] = shorter[:, x] + escape[at, x]
             cost[np.searchsorted(every, grams), x] = np.log2((total + distinct)[own] / n)
-        model.grams.append(Grams(every))
+        model.grams.append(HashIndex(every))
         model.cost.append(cost)
-        model.contexts.append(Grams(contexts))
+        model.contexts.append(HashIndex(contexts))
         model.escape.append(escape)
     return model
 

@@ -1,8 +1,10 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
 from palimpsest.llm.ann import op10_nearest_neighbours
+from palimpsest.llm.cdc import op9_substring_dedup
 from palimpsest.llm.html_extract import op3_html_extraction
 from palimpsest.llm.langid import op5_language_id
+from palimpsest.llm.pieces import op8_sentencepiece
 from palimpsest.llm.secrets import op4_secret_scans
 from palimpsest.llm.warc import op6_warc
 
@@ -11,6 +13,8 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 

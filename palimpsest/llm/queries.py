@@ -2,6 +2,7 @@
 
 from palimpsest.llm.ann import op10_nearest_neighbours
 from palimpsest.llm.cdc import op9_substring_dedup
+from palimpsest.llm.decontaminate import op7_benchmark_decontamination
 from palimpsest.llm.html_extract import op3_html_extraction
 from palimpsest.llm.langid import op5_language_id
 from palimpsest.llm.ngram_join import op2_ngram_jaccard_join
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_nearest_neighbours": op10_nearest_neighbours,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import sys
 import tempfile
 import uuid
@@ -49,8 +49,10 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are stored: it does so once their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -26,7 +26,7 @@ from palimpsest.llm.components import connected_components
 SHINGLE, THRESHOLD = 6, 0.8
 BANDS, ROWS = 8, 3
 BINS = BANDS * ROWS
-DENSITY = 4  # smallest shingles expected to stay in a bin
+DENSITY = 2  # smallest shingles expected to stay in a bin
 
 
 def wide(line: Column) -> Column:
@@ -40,15 +40,17 @@ def shingle_hash(wide_line: Column, at: Column, size: int) -> Column:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, copy, n, line, entry) for every non-blank line. ``copy`` tells documents with one id apart."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
-    return rows.select("doc", "copy", "n", F.trim("line").alias("line")).where(F.col("line") != "").withColumn("entry", F.xxhash64("line"))
+    whole = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)).alias("lines"))
+    rows = whole.select("doc", "copy", F.posexplode("lines").alias("n", "line"))
+    return rows.where(F.col("line") != "").withColumn("entry", F.xxhash64("line"))
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE, bins: int = BINS, density: int = DENSITY) -> DataFrame:
     """(entry, b0 ... b{bins-1}): the least hash of each bin, null where it is empty."""
     count = F.char_length("line") - shingle + 1
     level = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(count / (density * bins))).cast("double"))).cast("long")  # by powers of two, so that similar lines have one limit
-    rows = lines.where(count >= 1).select("entry", wide(F.col("line")).alias("w"), level.alias("level"), F.explode(F.sequence(F.lit(0), count - 1)).alias("at"))
+    whole = lines.where(count >= 1).select("entry", wide(F.col("line")).alias("w"), level.alias("level"), count.alias("count"))  # once a line, below the explode
+    rows = whole.select("entry", "w", "level", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
     hashed = rows.select("entry", "level", shingle_hash(F.col("w"), F.col("at"), shingle).alias("h"))
     # The low 32 bits compete, the high 31 choose the bin; of n shingles about density x bins pass.
     near = hashed.select("entry", F.col("h").bitwiseAND(0xFFFFFFFF).alias("value"), (F.shiftrightunsigned("h", 33) % bins).cast("int").alias("place"), "level")

@@ -95,7 +95,7 @@ class Plan:
 
     # Facts: what classification needs of the text.
 
-    def facts(self, raw: Column) -> Column:
+    def facts(self, raw: Column) -> list[Column]:
         name = J.unescaped(J.extract(raw, J.FIRST_NAME))
         root = J.token_kind(J.extract(raw, J.ROOT_TOKEN))
         fields = [
@@ -108,7 +108,11 @@ class Plan:
         for kind in ("array", "map"):
             if len(self.by_kind(kind)) > 1:
                 fields += self.element_facts(raw, kind)
-        return F.struct(*fields)
+        return fields
+
+    def fact_names(self) -> list[str]:
+        more = [f"{kind}_{x}" for kind in ("array", "map") if len(self.by_kind(kind)) > 1 for x in ("token", "name", "text")]
+        return ["root", "valid", "name", "token", "text", *more]
 
     def element_facts(self, raw: Column, kind: str) -> list[Column]:
         first = F.get_json_object(raw, "$[0]") if kind == "array" else J.extract(raw, J.FIRST + r"([\s\S]*)", 2)
@@ -120,7 +124,7 @@ class Plan:
     def by_kind(self, kind: str) -> list[int]:
         return [k for k, e in enumerate(self.edges) if e.source.kind == kind]
 
-    def route(self, facts: Column) -> Column:
+    def route(self, facts) -> Column:
         to = lambda way, edge=None, error=None: F.struct(F.lit(way).alias("way"), F.lit(edge).cast("int").alias("edge"), (error if isinstance(error, Column) else F.lit(error).cast("string")).alias("error"))
         legacy, target = to("legacy"), to("target")
         migrate = lambda k: to("migrate", k)
@@ -156,7 +160,7 @@ class Plan:
             legacy,
         )
 
-    def by_element(self, facts: Column, kind: str, ambiguous: Column, migrate: Callable, legacy: Column) -> Column:
+    def by_element(self, facts, kind: str, ambiguous: Column, migrate: Callable, legacy: Column) -> Column:
         """One edge of a kind takes every payload of it. Of several, the first element decides: its token, its discriminator, its
         shape; if nothing does, the first edge."""
         among = self.by_kind(kind)
@@ -302,7 +306,7 @@ class Plan:
 
     # Edges.
 
-    def applied(self, raw: Column, route: Column) -> Column:
+    def applied(self, raw: Column, route) -> Column:
         """struct<ok, value, error> of the routed edge."""
         kind = self.schema(self.target)
         none = F.struct(F.lit(False).alias("ok"), F.lit(None).cast(kind).alias("value"), F.lit(None).cast("string").alias("error"))
@@ -320,37 +324,48 @@ class Plan:
         branches = [(route["edge"] == k, let(self.decode(raw, e.source), run(e))) for k, e in enumerate(self.edges)]
         return first_true(branches, none)
 
-    def outcome(self, raw: Column, facts: Column, route: Column, applied: Column) -> Column:
+    def verdict(self, route, applied: Column) -> dict[str, Column]:
+        """Path, source, status and tracking flag."""
         migrated = route["way"] == "migrate"
-        failed = migrated & ~applied["ok"] & applied["error"].isNull()
         names = first_true([(route["edge"] == k, F.lit(e.source.name)) for k, e in enumerate(self.edges)], F.lit(None).cast("string"))
+        fell_back = self.policy is Policy.FALL_BACK
+        tracked = F.when(route["way"] == "legacy", True).when(route["way"] == "target", False).when(migrated & applied["ok"], True)
+        if fell_back:
+            tracked = tracked.when(migrated & applied["error"].isNull(), False)
+        return {"path": route["way"], "source": names, "status": F.when(migrated, F.when(applied["ok"], "success").otherwise("failure")), "migrated": tracked}
+
+    def outcome(self, raw: Column, facts, route, applied: Column) -> Column:
+        """struct<value, error>."""
+        failed = (route["way"] == "migrate") & ~applied["ok"] & applied["error"].isNull()
         read = route["way"].isin("target", "legacy")
         if self.policy is Policy.FALL_BACK:
             read = read | failed
-        failure = F.concat(F.lit("Migration failed for '"), names, F.lit(f"' to '{self.target.name}'."))
+        failure = F.concat(F.lit("Migration failed for '"), self.verdict(route, applied)["source"], F.lit(f"' to '{self.target.name}'."))
 
         def build(own: Column) -> Column:
-            own_error = F.coalesce(route["error"], applied["error"], own["error"])
+            error = F.coalesce(route["error"], applied["error"], own["error"])
             if self.policy is Policy.THROW:
-                own_error = F.coalesce(own_error, F.when(failed, failure))
+                error = F.coalesce(error, F.when(failed, failure))
             value = F.when(applied["ok"], applied["value"]).otherwise(own["value"])
             if self.target.after_decode is not None:
                 value = F.when(value.isNotNull(), self.target.after_decode(value))
-            return F.struct(
-                F.when(own_error.isNull(), value).alias("value"), route["way"].alias("path"), names.alias("source"),
-                F.when(migrated, F.when(applied["ok"], "success").otherwise("failure")).alias("status"),
-                F.when(route["way"] == "legacy", True).when(route["way"] == "target", False).when(migrated & applied["ok"], True).when(failed & F.lit(self.policy is Policy.FALL_BACK), False).alias("migrated"),
-                own_error.alias("error"),
-            )
+            return F.struct(F.when(error.isNull(), value).alias("value"), error.alias("error"))
 
         empty = F.struct(F.lit(None).cast(self.schema(self.target)).alias("value"), F.lit(None).cast("string").alias("error"))
         return let(F.when(read, self.decode(raw, self.target, facts["root"])).otherwise(empty), build)
 
     def expression(self, raw: Column) -> Column:
-        """struct<value, path, source, status, migrated, error> of a payload, as one expression; NULL text is SQL NULL."""
-        whole = let(self.facts(raw), lambda f: let(self.route(f), lambda r: let(self.applied(raw, r), lambda a: self.outcome(raw, f, r, a))))
-        empty = F.struct(F.lit(None).cast(self.schema(self.target)).alias("value"), F.lit("null").alias("path"), *[F.lit(None).cast("string").alias(c) for c in ("source", "status")], F.lit(None).cast("boolean").alias("migrated"), F.lit(None).cast("string").alias("error"))
-        return F.when(raw.isNull(), empty).otherwise(whole)
+        """struct<value, error, migrated> of a payload, as one expression; NULL text is SQL NULL."""
+
+        def whole(facts: Column) -> Column:
+            return let(self.route(facts), lambda r: let(self.applied(raw, r), lambda a: finish(facts, r, a)))
+
+        def finish(facts: Column, route: Column, applied: Column) -> Column:
+            flag = self.verdict(route, applied)["migrated"]
+            return let(self.outcome(raw, facts, route, applied), lambda o: F.struct(o["value"].alias("value"), o["error"].alias("error"), flag.alias("migrated")))
+
+        empty = F.struct(F.lit(None).cast(self.schema(self.target)).alias("value"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("boolean").alias("migrated"))
+        return F.when(raw.isNull(), empty).otherwise(let(F.struct(*self.facts(raw)), whole))
 
 
 class MigrationEngine:
@@ -375,18 +390,23 @@ class MigrationEngine:
             raise ValueError("on_error is 'raise' or 'column'")
         plan = self.plan(target)
         raw = F.col(payload)
-        # Separate projections keep each step computed once: what a later one uses twice isn't merged into it.
-        steps = df.withColumn("__facts", plan.facts(raw)).withColumn("__route", plan.route(F.col("__facts")))
-        steps = steps.withColumn("__applied", plan.applied(raw, F.col("__route")))
-        steps = steps.withColumn("__out", plan.outcome(raw, F.col("__facts"), F.col("__route"), F.col("__applied")))
-        out = F.col("__out")
-        null = raw.isNull()
-        shown = F.when(null, None).otherwise(out["value"])
-        error = F.when(~null, out["error"])
+        # Facts and route are rows made by a generator: a filter on the result can't be pushed through one, so their expressions
+        # are neither inlined into the predicate nor computed twice. Decoding stays a projection, pruned where nothing reads it.
+        names = plan.fact_names()
+        steps = df.select("*", F.inline(F.array(F.struct(*plan.facts(raw)))).alias(*[f"__{n}" for n in names]))
+        facts = {n: F.col(f"__{n}") for n in names}
+        steps = steps.select("*", F.inline(F.array(plan.route(facts))).alias("__way", "__edge", "__problem"))
+        route = {"way": F.col("__way"), "edge": F.col("__edge"), "error": F.col("__problem")}
+        steps = steps.withColumn("__applied", plan.applied(raw, route))
+        steps = steps.withColumn("__out", plan.outcome(raw, facts, route, F.col("__applied")))
+        null, error, shown = raw.isNull(), F.col("__out.error"), F.col("__out.value")
+        error = F.when(~null, error)
+        shown = F.when(~null, shown)
         if on_error == "raise":
             shown = F.when(error.isNotNull(), F.raise_error(error).cast(plan.schema(target))).otherwise(shown)
-        report = {"_path": F.when(null, "null").otherwise(out["path"]), "_source": F.when(~null, out["source"]), "_status": F.when(~null, out["status"]), "_migrated": F.when(~null, out["migrated"]), "_error": error}
-        return steps.select(*df.columns, shown.alias(value), *[c.alias(n) for n, c in report.items()])
+        verdict = plan.verdict(route, F.col("__applied"))
+        said = [(F.when(null, "null").otherwise(c) if n == "path" else F.when(~null, c)).alias(f"_{n}") for n, c in verdict.items()]
+        return steps.select(*df.columns, shown.alias(value), *said, error.alias("_error"))
 
     def encode(self, value: Column, target: Versioned) -> Column:
         """JSON text with the discriminator as first property, unless the type has a member of that name."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import tempfile
 import uuid
@@ -19,6 +18,8 @@ def ship_by_value(module_name: str) -> None:
 
 ship_by_value(__name__)
 
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,16 +46,15 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back. Survives the loss of any executor."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, "false")
+    spark.conf.set(FILE_CLEANUP, "true")  # the shuffle files of this write go when it ends
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are stored: it does so once their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, so any store works."""
     jvm = spark.sparkContext._jvm

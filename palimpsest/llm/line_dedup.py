@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import persist, release, table
+from palimpsest.llm.common import persist, table
 from palimpsest.llm.components import connected_components
 
 SHINGLE, THRESHOLD = 6, 0.8
@@ -74,15 +74,11 @@ def shingle_set(line: Column, shingle: int) -> Column:
 
 def near_ties(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(a, b), a > b: entries that share a bucket, each with the bucket's least."""
-    spark = lines.sparkSession
     keyed = persist(band_keys(signatures(lines, shingle)), "line-keys")
-    release(spark)
     keys = keyed.select("entry", F.explode("keys").alias("key"))
     bucket = keys.groupBy("key").agg(F.min("entry").alias("lo"), F.count("*").alias("c")).where(F.col("c") > 1).select("key", "lo")
     pairs = keys.join(bucket, "key").where(F.col("entry") != F.col("lo")).select(F.col("entry").alias("a"), F.col("lo").alias("b")).distinct()
-    ties = persist(pairs, "line-ties")
-    release(spark)
-    return ties
+    return persist(pairs, "line-ties")
 
 
 def verified(ties: DataFrame, lines: DataFrame, places: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -105,7 +101,6 @@ def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     lines = lines_of(docs, id_col, text_col)
     place = F.struct("doc", "n", "copy")
     places = persist(lines.groupBy("entry").agg(F.min(place).alias("p"), F.count("*").alias("times")).select("entry", "p.doc", "p.n", "p.copy", "times"), "line-places")
-    release(docs.sparkSession)
     classes = connected_components(verified(near_ties(lines, shingle), lines, places, shingle, threshold))
     member = classes.select(F.col("node").alias("entry"), "component").join(places, "entry")
     first = member.groupBy("component").agg(F.min(place).alias("p"))

@@ -8,8 +8,8 @@ from palimpsest.llm.langid import op5_language_id
 from palimpsest.llm.line_dedup import op1_line_dedup
 from palimpsest.llm.ngram_join import op2_ngram_jaccard_join
 from palimpsest.llm.pieces import op8_sentencepiece
-from palimpsest.llm.secrets import op4_secret_scans
-from palimpsest.llm.warc import op6_warc
+from palimpsest.llm.secrets import OP4_SQL, op4_secret_scans
+from palimpsest.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_secret_scans": OP4_SQL, "op6_warc": OP6_SQL}

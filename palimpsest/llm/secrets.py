@@ -125,3 +125,18 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind_no"] < len(BASE_RULES))
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def _rule_sql(number: int, rule: Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    size = lambda part: f"coalesce(list_sum(list_transform({part}, lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, {number} AS kind_no, '{rule.kind}' AS kind, {size("gap[1:i]")} + {size("hit[1:i - 1]")} AS s, {size("gap[1:i]")} + {size("hit[1:i]")} AS e
+  FROM (SELECT doc_id, gap, hit, val, unnest(range(1, len(hit) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS gap, regexp_extract_all(t, '{pattern}', 0) AS hit, regexp_extract_all(t, '{pattern}', {rule.group}) AS val
+    FROM docs WHERE regexp_matches(t, '{pattern}')) a) b WHERE length(val[i]) >= {rule.least}"""
+
+
+OP4_SQL = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({" UNION ALL ".join(_rule_sql(k, r) for k, r in enumerate(RULES))}),
+by_doc AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS c,
+  string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, kind_no) FILTER (WHERE kind_no < {len(BASE_RULES)}) AS base, string_agg(concat(kind, ':', CAST(s AS BIGINT), ':', CAST(e AS BIGINT)), ',' ORDER BY s, kind_no) AS every FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(a, 0) AS BIGINT) AS n_assign, CAST(coalesce(b, 0) AS BIGINT) AS n_access, CAST(coalesce(c, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM docs d LEFT JOIN by_doc f ON f.doc_id = d.doc_id"""

@@ -228,3 +228,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(index).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+
+
+DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> {shift}) & 31 AS INTEGER) + 1, 1)"
+OP6_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS last FROM p),
+g AS (SELECT page_id, k, CAST(concat('0x', substr(h, CAST(k * 5 + 1 AS INTEGER), 5)) AS INTEGER) AS v FROM d, range(0, 8) r(k)),
+b AS (SELECT page_id, string_agg(concat({DIGIT.format(shift=15)}, {DIGIT.format(shift=10)}, {DIGIT.format(shift=5)}, {DIGIT.format(shift=0)}), '' ORDER BY k) AS payload_digest FROM g GROUP BY page_id)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN d.page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN d.page_id <> last THEN last END AS refers_to FROM d JOIN b ON b.page_id = d.page_id"""

@@ -4,8 +4,9 @@
 2. An entry's signature comes from its distinct character shingles by one-permutation hashing: one 64-bit hash a shingle,
    whose leading bits choose a bin and whose rest competes for the bin's minimum. Only shingles among the few smallest
    expected in a bin are kept before aggregation. Empty bins borrow from the next.
-3. Rows of the signature form bands. An entry is tied to the least entry of each of its buckets.
-4. Ties are verified by exact Jaccard similarity of the shingle sets, then union-find (large-star, small-star) gives
+3. Rows of the signature form bands. An entry is tied to the least entry of each of its buckets. Ties whose whole signatures
+   share too few bins go.
+4. The rest is verified by exact Jaccard similarity of the shingle sets, then union-find (large-star, small-star) gives
    components, and the first place of each component keeps its line.
 
 Shingles are slices of the line's UTF-32 form, exploded and hashed inside generated code; their minima are aggregated before
@@ -17,6 +18,8 @@ itself; rows without a doc_id, and documents that repeat a doc_id, are told apar
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from palimpsest.llm.components import connected_components
 SHINGLE, THRESHOLD = 6, 0.8
 BANDS, ROWS = 8, 3
 BINS = BANDS * ROWS
+LEAST_EQUAL = 11  # bins that a tie must share: of 24 at similarity 0.8, fewer are equal in one of 7000 ties
 DENSITY = 2  # smallest shingles expected to stay in a bin
 
 
@@ -59,11 +63,19 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE, bins: int = BINS, densi
 
 
 def band_keys(signature: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(entry, keys), one key for each band. An empty bin takes the value of the next full one, marked with the distance."""
+    """(entry, keys, sig): one key for each band, and the low 16 bits of every bin, four to a number. An empty bin takes the value of the next full one, marked with the distance."""
     bins = bands * rows
     full = [F.coalesce(F.col(f"b{b}"), *[F.col(f"b{(b + d) % bins}") + (d << 33) for d in range(1, bins)]) for b in range(bins)]
     keys = [F.xxhash64(F.lit(k), *full[k * rows : (k + 1) * rows]) for k in range(bands)]
-    return signature.select("entry", F.array(*keys).alias("keys"))
+    lanes = [F.shiftleft(f.bitwiseAND(0xFFFF), 16 * (b % 4)) for b, f in enumerate(full)]
+    sig = [reduce(lambda x, y: x.bitwiseOR(y), lanes[b : b + 4]) for b in range(0, bins, 4)]
+    return signature.select("entry", F.array(*keys).alias("keys"), F.array(*sig).alias("sig"))
+
+
+def equal_bins(a: str, b: str, bins: int) -> Column:
+    """How many 16-bit lanes two signatures share."""
+    parts = [F.when(F.shiftrightunsigned(F.get(a, k // 4).bitwiseXOR(F.get(b, k // 4)), 16 * (k % 4)).bitwiseAND(0xFFFF) == 0, 1).otherwise(0) for k in range(bins)]
+    return reduce(lambda x, y: x + y, parts)
 
 
 def shingle_set(line: Column, shingle: int) -> Column:
@@ -72,13 +84,15 @@ def shingle_set(line: Column, shingle: int) -> Column:
     return F.array_distinct(F.element_at(F.transform(F.array(wide(line)), lambda w: F.transform(F.sequence(F.lit(0), last), lambda at: shingle_hash(w, at, shingle))), 1))
 
 
-def near_ties(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b), a > b: entries that share a bucket, each with the bucket's least."""
+def near_ties(lines: DataFrame, shingle: int = SHINGLE, least_equal: int = LEAST_EQUAL) -> DataFrame:
+    """Ties (a, b) of entries that share a bucket, each with the bucket's least, and at least so many bins."""
     keyed = persist(band_keys(signatures(lines, shingle)), "line-keys")
     keys = keyed.select("entry", F.explode("keys").alias("key"))
     bucket = keys.groupBy("key").agg(F.min("entry").alias("lo"), F.count("*").alias("c")).where(F.col("c") > 1).select("key", "lo")
     pairs = keys.join(bucket, "key").where(F.col("entry") != F.col("lo")).select(F.col("entry").alias("a"), F.col("lo").alias("b")).distinct()
-    return persist(pairs, "line-ties")
+    ties, sigs = persist(pairs, "line-ties"), keyed.select("entry", "sig")
+    both = ties.join(sigs.withColumnsRenamed({"entry": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"entry": "b", "sig": "y"}), "b")
+    return persist(both.where(equal_bins("x", "y", BINS) >= least_equal).select("a", "b"), "line-near")
 
 
 def verified(ties: DataFrame, lines: DataFrame, places: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import persist, ship_by_value, table
+from palimpsest.llm.common import give_back, persist, ship_by_value, table
 
 ship_by_value(__name__)
 
@@ -109,6 +109,7 @@ def chunk_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     parts, count = [], 0
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+        give_back()
 
     usable = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & (F.col("text") != ""))
     return usable.mapInArrow(run, CHUNK)

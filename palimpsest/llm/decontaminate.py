@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship_by_value, table
+from palimpsest.llm.common import give_back, ship_by_value, table
 from palimpsest.llm.hashindex import MULTIPLIER, HashIndex
 
 ship_by_value(__name__)
@@ -35,7 +35,7 @@ ship_by_value(__name__)
 EDIT_SHARE, SEED_BYTES = 0.1, 8
 WALKS, TABLES, PLACES = 8, 48, 4
 ITEM_BYTES = 32 << 20
-SLICE = 1 << 21
+SLICE = 1 << 20
 SPACES, PUNCTUATION = b"\t\n\v\f\r", string.punctuation.encode()
 TO_SPACE = bytes.maketrans(SPACES, b" " * len(SPACES))
 HITS = "array<struct<item_id:bigint,distance:int>>"
@@ -239,6 +239,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_
                     found = [[(h["item_id"], h["distance"]) for h in old] + new for old, new in zip(batch.column("hits").to_pylist(), found, strict=True)]
                 rows = pa.array([[{"item_id": i, "distance": x} for i, x in f] for f in found], kind)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names[:-1]] + [rows], names=names)
+            give_back()
 
         out = out.mapInArrow(run, fields)
     return out

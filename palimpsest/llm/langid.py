@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship_by_value, table
+from palimpsest.llm.common import give_back, ship_by_value, table
 from palimpsest.llm.hashindex import HashIndex
 
 ship_by_value(__name__)
 
 ORDER = 4
 PER_LANGUAGE, TRAIN_ROWS, TRAIN_CHARS = 256, 4096, 20_000
-SLICE = 1 << 21
+SLICE = 1 << 19
 UNKNOWN = "und"
 
 
@@ -185,6 +185,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             langs, score, rate = classify(shared.value, batch.column("text").to_pylist())
             cols = [batch.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "bits_per_byte"])
+        give_back()
 
     return docs.select(*keep).mapInArrow(run, fields + "lang_pred string, score double, bits_per_byte double")
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import persist, ship_by_value, table
+from palimpsest.llm.common import give_back, persist, ship_by_value, table
 from palimpsest.llm.components import connected_components
 
 ship_by_value(__name__)
@@ -100,6 +100,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, ba
                     hashes = minhashes(items, family).reshape(bands, rows)
                     keys.append(np.array([xxhash.xxh3_64_intdigest(hashes[b].tobytes(), b) for b in range(bands)], np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+        give_back()
 
     usable = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     return usable.mapInArrow(run, SKETCH)
@@ -230,6 +231,7 @@ def _grouped(words: int, threshold: float, tolerance: float, hashes: int):
             done = close(waiting)
             if done is not None:
                 yield done
+        give_back()
 
     return run
 

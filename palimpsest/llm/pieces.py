@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship_by_value, table
+from palimpsest.llm.common import give_back, ship_by_value, table
 from palimpsest.llm.hashindex import HashIndex
 
 ship_by_value(__name__)
@@ -34,7 +34,7 @@ ship_by_value(__name__)
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 WORD = re.compile(" *[^ ]+| +")
-UNIT_CHARS = 4_000_000
+UNIT_CHARS = 1_500_000
 SEED, THETA = 17, 1.0
 
 
@@ -302,6 +302,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary | None = None, key_col:
             if check:
                 cols.append(pa.array([None if x is None else v.decode(x) == t for x, t in zip(found, texts, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, names=[f.strip().split(" ")[0].strip("`") for f in fields.split(", ")])
+        give_back()
 
     return docs.select(key_col, text_col).mapInArrow(run, fields)
 

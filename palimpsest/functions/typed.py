@@ -93,7 +93,7 @@ class Typed:
         """The rule, and the range of unsigned types. NULL is not valid."""
         good = value.isNotNull()
         if self.base.low is not None:
-            good = good & value.between(self.base.low, self.base.high)
+            good = good & value.between(F.lit(str(self.base.low)).cast("decimal(20,0)"), F.lit(str(self.base.high)).cast("decimal(20,0)"))
         if self.base.pattern and isinstance(self.base.spark, T.StringType):
             good = good & value.rlike(self.base.pattern)
         return self._call("is_valid", lambda v: F.coalesce(good & (self.rule(v) if self.rule else F.lit(True)), F.lit(False)), value)

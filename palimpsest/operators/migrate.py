@@ -221,7 +221,7 @@ class Plan:
             entries = F.map_entries(J.decoded(raw, T.MapType(T.StringType(), T.StringType())))
 
             def build(all_entries: Column) -> Column:
-                found = {m: F.element_at(F.filter(all_entries, same_name(names[m])), -1)["value"] for m in names}
+                found = {m: F.try_element_at(F.filter(all_entries, same_name(names[m])), F.lit(-1))["value"] for m in names}
                 return F.when(all_entries.isNotNull(), F.struct(*[(found[m] if isinstance(types[m], T.StringType) else J.decoded(found[m], types[m])).alias(m) for m in names]))
 
             return let(entries, build)

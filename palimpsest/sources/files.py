@@ -25,10 +25,9 @@ def whole_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def xml_attributes(files: DataFrame, element: str, attributes: list[str]) -> DataFrame:
     """One row for each element with its attributes, from (file, text)."""
-    nodes = F.expr(f"xpath_int(text, 'count(//{element})')")
-    count = files.select("file", "text", F.explode(F.when(nodes > 0, F.sequence(F.lit(1), nodes)).otherwise(F.array().cast("array<int>"))).alias("n"))
-    pick = [F.nullif(F.expr(f"xpath_string(text, concat('(//{element})[', n, ']/@{a}'))"), F.lit("")).alias(a) for a in attributes]
-    return count.select("file", "n", *pick)
+    tags = files.select("file", F.posexplode(F.regexp_extract_all("text", F.lit(rf"<{element}\b[^>]*>"), F.lit(0))).alias("n", "tag"))
+    pick = [F.nullif(F.regexp_extract("tag", rf"""\b{a}\s*=\s*["']([^"']*)["']""", 1), F.lit("")).alias(a) for a in attributes]
+    return tags.select("file", "n", *pick)
 
 
 def xml_values(files: DataFrame, element: str) -> DataFrame:
@@ -55,7 +54,7 @@ def markdown_tables(files: DataFrame, columns: list[str]) -> DataFrame:
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     rows = lines.withColumn("cells", cells)
     head = F.first("cells").over(Window.partitionBy("file", "table").orderBy("n"))
-    rows = rows.withColumn("head", head).where(~F.col("line").rlike(r"^\|[\s|:-]+\|?$") & (F.col("cells") != F.col("head")))
+    rows = rows.withColumn("head", head).where(~F.col("line").rlike(r"^\|[\s|:-]+\|?$") & (F.col("cells") != F.col("head")))  # no rule, no header
     pick = [F.when(F.array_position("head", c) > 0, F.get("cells", (F.array_position("head", c) - 1).cast("int"))).alias(c) for c in columns]
     return rows.select("file", "n", *pick)
 

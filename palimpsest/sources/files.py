@@ -19,7 +19,7 @@ def payload_stream(spark: SparkSession, path: str, column: str = "payload") -> D
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(file, text) of every file below a folder."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 

@@ -44,7 +44,7 @@ def test_samples_follow_the_lattice(toy):
         assert abs(seen.get(key, 0) / n - p) < 4 * (p * (1 - p) / n) ** 0.5 + 1e-3
 
 
-@pytest.mark.parametrize("text", ["", "a", " ", "   ", "ab  aab ", "x▁y", "é🙂\n\t\0", "a" * 3000, "\ud800" if False else "ß"])
+@pytest.mark.parametrize("text", ["", "a", " ", "   ", "ab  aab ", "x▁y", "é🙂\n\t\0", "a" * 3000, "ß"])
 def test_lossless_with_a_toy_vocabulary(toy, text):
     (ids,) = P.encode(toy, [text], [1])
     assert toy.decode(ids) == text

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,11 @@ EMPTY_OBJECT = r"^\s*\{\s*\}\s*$"
 EMPTY_ARRAY = r"^\s*\[\s*\]\s*$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unescaped(raw: Column) -> Column:
     """The text of a JSON string's inside. Only strings with a backslash are parsed."""
     return F.when(raw.contains("\\"), F.get_json_object(F.concat(F.lit('{"a":"'), raw, F.lit('"}')), "$.a")).otherwise(raw)
@@ -49,4 +56,4 @@ def decoded(json: Column, kind: T.DataType, options: dict | None = None) -> Colu
     wrapped = F.concat(F.lit('{"v":'), json, F.lit("}"))
     schema = T.StructType([T.StructField("v", kind), T.StructField("_bad", T.StringType())])
     row = F.from_json(wrapped, schema, {"columnNameOfCorruptRecord": "_bad", **(options or {})})
-    return F.when(row["_bad"].isNull(), row["v"])
+    return let(row, lambda r: F.when(r["_bad"].isNull(), r["v"]))

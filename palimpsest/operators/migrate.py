@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import jsontext as J
+from palimpsest.functions.jsontext import let
 from palimpsest.plans.registry import Edge, Listed, Mapped, Metadata, Policy, Registry, RegistryError, Versioned
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -44,11 +45,6 @@ class Options:
         return head[:1].lower() + head[1:] + "".join(p[:1].upper() + p[1:] for p in rest)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def first_true(branches: list[tuple[Column, Column]], otherwise: Column) -> Column:
     out = None
     for condition, value in branches:
@@ -95,15 +91,19 @@ class Plan:
 
     # Facts: what classification needs of the text.
 
-    def facts(self, raw: Column) -> list[Column]:
-        name = J.unescaped(J.extract(raw, J.FIRST_NAME))
-        root = J.token_kind(J.extract(raw, J.ROOT_TOKEN))
+    @staticmethod
+    def head(raw: Column) -> dict[str, Column]:
+        """Parts of the prefix, as written; '' where there is none."""
+        return {"r": F.regexp_extract(raw, J.ROOT_TOKEN, 1), "n": F.regexp_extract(raw, J.FIRST_TOKEN, 1), "t": F.regexp_extract(raw, J.FIRST_TOKEN, 2), "s": F.regexp_extract(raw, J.FIRST + J.STRING, 2)}
+
+    def facts(self, raw: Column, head) -> list[Column]:
+        root = J.token_kind(head["r"])
         fields = [
             root.alias("root"),
             (J.is_one_value(raw) if self.options.validate else root.isNotNull()).alias("valid"),
-            name.alias("name"),
-            J.token_kind(J.extract(raw, J.FIRST_TOKEN, 2)).alias("token"),
-            J.unescaped(J.extract(raw, J.FIRST + J.STRING, 2)).alias("text"),
+            F.when(head["t"] != "", J.unescaped(head["n"])).alias("name"),
+            J.token_kind(head["t"]).alias("token"),
+            F.when(head["t"] == '"', J.unescaped(head["s"])).alias("text"),
         ]
         for kind in ("array", "map"):
             if len(self.by_kind(kind)) > 1:
@@ -365,7 +365,7 @@ class Plan:
             return let(self.outcome(raw, facts, route, applied), lambda o: F.struct(o["value"].alias("value"), o["error"].alias("error"), flag.alias("migrated")))
 
         empty = F.struct(F.lit(None).cast(self.schema(self.target)).alias("value"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("boolean").alias("migrated"))
-        return F.when(raw.isNull(), empty).otherwise(let(F.struct(*self.facts(raw)), whole))
+        return F.when(raw.isNull(), empty).otherwise(let(F.struct(*[c.alias(n) for n, c in self.head(raw).items()]), lambda h: let(F.struct(*self.facts(raw, h)), whole)))
 
 
 class MigrationEngine:
@@ -393,7 +393,10 @@ class MigrationEngine:
         # Facts and route are rows made by a generator: a filter on the result can't be pushed through one, so their expressions
         # are neither inlined into the predicate nor computed twice. Decoding stays a projection, pruned where nothing reads it.
         names = plan.fact_names()
-        steps = df.select("*", F.inline(F.array(F.struct(*plan.facts(raw)))).alias(*[f"__{n}" for n in names]))
+        parts = plan.head(raw)
+        steps = df.select("*", *[c.alias(f"__h{n}") for n, c in parts.items()])
+        head = {n: F.col(f"__h{n}") for n in parts}
+        steps = steps.select("*", F.inline(F.array(F.struct(*plan.facts(raw, head)))).alias(*[f"__{n}" for n in names]))
         facts = {n: F.col(f"__{n}") for n in names}
         steps = steps.select("*", F.inline(F.array(plan.route(facts))).alias("__way", "__edge", "__problem"))
         route = {"way": F.col("__way"), "edge": F.col("__edge"), "error": F.col("__problem")}

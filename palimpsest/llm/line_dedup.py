@@ -5,12 +5,14 @@
    whose leading bits choose a bin and whose rest competes for the bin's minimum. Only shingles among the few smallest
    expected in a bin are kept before aggregation. Empty bins borrow from the next.
 3. Rows of the signature form bands. An entry is tied to the least entry of each of its buckets. Ties whose whole signatures
-   share too few bins go.
-4. The rest is verified by exact Jaccard similarity of the shingle sets, then union-find (large-star, small-star) gives
-   components, and the first place of each component keeps its line.
+   share too few bins go; the rest is verified by exact Jaccard similarity of the shingle sets.
+4. Union-find (large-star, small-star) gives components. In buckets that still hold several of them, all other pairs of
+   different components are compared likewise, inside the join's condition, so that only links become rows. A large bucket
+   is dealt out as pairs of blocks of ``BLOCK`` entries, and a pair is compared in the first bucket it shares only.
+5. Components of all links; the first place of each keeps its line.
 
 Shingles are slices of the line's UTF-32 form, exploded and hashed inside generated code; their minima are aggregated before
-anything is shuffled. Texts are shuffled once, and only lines that some tie needs are compared.
+anything is shuffled. Texts are shuffled once for each of steps 3 and 4, and only lines that they need are compared.
 
 Defined cases: null texts stay null and empty texts empty; blank lines are kept; a line shorter than a shingle only equals
 itself; rows without a doc_id, and documents that repeat a doc_id, are told apart by their content; an empty table gives no row.
@@ -31,6 +33,7 @@ BANDS, ROWS = 8, 3
 BINS = BANDS * ROWS
 LEAST_EQUAL = 11  # bins that a tie must share: of 24 at similarity 0.8, fewer are equal in one of 7000 ties
 DENSITY = 2  # smallest shingles expected to stay in a bin
+BLOCK = 256
 
 
 def wide(line: Column) -> Column:
@@ -72,7 +75,7 @@ def band_keys(signature: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Dat
     return signature.select("entry", F.array(*keys).alias("keys"), F.array(*sig).alias("sig"))
 
 
-def equal_bins(a: str, b: str, bins: int) -> Column:
+def equal_bins(a: str | Column, b: str | Column, bins: int) -> Column:
     """How many 16-bit lanes two signatures share."""
     parts = [F.when(F.shiftrightunsigned(F.get(a, k // 4).bitwiseXOR(F.get(b, k // 4)), 16 * (k % 4)).bitwiseAND(0xFFFF) == 0, 1).otherwise(0) for k in range(bins)]
     return reduce(lambda x, y: x + y, parts)
@@ -84,23 +87,56 @@ def shingle_set(line: Column, shingle: int) -> Column:
     return F.array_distinct(F.element_at(F.transform(F.array(wide(line)), lambda w: F.transform(F.sequence(F.lit(0), last), lambda at: shingle_hash(w, at, shingle))), 1))
 
 
-def near_ties(lines: DataFrame, shingle: int = SHINGLE, least_equal: int = LEAST_EQUAL) -> DataFrame:
+def near_ties(keyed: DataFrame, buckets: DataFrame, least_equal: int = LEAST_EQUAL) -> DataFrame:
     """Ties (a, b) of entries that share a bucket, each with the bucket's least, and at least so many bins."""
-    keyed = persist(band_keys(signatures(lines, shingle)), "line-keys")
-    keys = keyed.select("entry", F.explode("keys").alias("key"))
-    bucket = keys.groupBy("key").agg(F.min("entry").alias("lo"), F.count("*").alias("c")).where(F.col("c") > 1).select("key", "lo")
-    pairs = keys.join(bucket, "key").where(F.col("entry") != F.col("lo")).select(F.col("entry").alias("a"), F.col("lo").alias("b")).distinct()
+    pairs = buckets.where(F.col("entry") != F.col("lo")).select(F.col("entry").alias("a"), F.col("lo").alias("b")).distinct()
     ties, sigs = persist(pairs, "line-ties"), keyed.select("entry", "sig")
     both = ties.join(sigs.withColumnsRenamed({"entry": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"entry": "b", "sig": "y"}), "b")
     return persist(both.where(equal_bins("x", "y", BINS) >= least_equal).select("a", "b"), "line-near")
 
 
-def verified(ties: DataFrame, lines: DataFrame, places: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The ties (a, b) whose lines have at least the similarity ``threshold``. A line's text is fetched from its first place."""
-    ends = ties.select(F.col("a").alias("e")).unionAll(ties.select(F.col("b").alias("e"))).distinct()
+def shared_buckets(keyed: DataFrame) -> DataFrame:
+    """(key, entry, band, lo, c): the entries of each bucket of two or more, its least entry and their number."""
+    keys = keyed.select("entry", F.posexplode("keys").alias("band", "key"))
+    bucket = keys.groupBy("key").agg(F.min("entry").alias("lo"), F.count("*").alias("c")).where(F.col("c") > 1)
+    return persist(keys.join(bucket, "key").select("key", "entry", "band", "lo", "c"), "line-buckets")
+
+
+def cross_links(keyed: DataFrame, buckets: DataFrame, classes: DataFrame, lines: DataFrame, places: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, least_equal: int = LEAST_EQUAL, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of entries that share a bucket, neither its least, and that ``classes`` (node, component) holds apart."""
+    rest = buckets.where((F.col("c") > 2) & (F.col("entry") != F.col("lo"))).select("key", "band", "entry")
+    rest = rest.join(classes.select(F.col("node").alias("entry"), "component"), "entry", "left").select("key", "band", "entry", F.coalesce("component", "entry").alias("own"))
+    rest = persist(rest, "line-rest")
+    mixed = rest.groupBy("key").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = persist(rest.join(mixed.where(F.col("least") != F.col("most")).select("key", "blocks"), "key"), "line-mixed")
+    texts = texts_of(rows.select(F.col("entry").alias("e")).distinct(), lines, places)
+    held = keyed.join(texts, "entry").select("entry", "keys", "sig", "line")
+    rows = rows.join(held, "entry").withColumn("at", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
+    rows = persist(rows.select("key", "band", "blocks", "at", "entry", "own", F.slice("keys", F.lit(1), F.col("band")).alias("keys"), "sig", "line"), "line-rows")
+    sets = F.struct("entry", "own", "keys", "sig", "set", F.size("set").alias("n"))  # made after the shuffle, as they are several times a line
+    dealt = lambda df: df.repartition("key", "bi", "bj").withColumn("set", shingle_set(F.col("line"), shingle))
+    left = dealt(rows.withColumns({"bi": F.col("at"), "bj": F.explode(F.sequence(F.col("at"), F.col("blocks") - 1))})).select("key", "bi", "bj", "band", sets.alias("x"))
+    right = dealt(rows.withColumns({"bi": F.explode(F.sequence(F.lit(0), F.col("at"))), "bj": F.col("at")})).select("key", "bi", "bj", sets.alias("y"))
+    apart = (F.col("x.own") != F.col("y.own")) & ((F.col("bi") != F.col("bj")) | (F.col("x.entry") > F.col("y.entry")))
+    first = reduce(lambda p, q: p & q, [(F.col("band") <= k) | (F.get("x.keys", k) != F.get("y.keys", k)) for k in range(BANDS - 1)])
+    sizes = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
+    alike = lambda p: (equal_bins(p["x"]["sig"], p["y"]["sig"], BINS) >= least_equal) & (F.size(F.array_intersect(p["x"]["set"], p["y"]["set"])) * (1 + threshold) >= threshold * (p["x"]["n"] + p["y"]["n"]) - 1e-9)
+    pair = F.exists(F.array(F.struct("x", "y")), alike)  # a lambda keeps the join's generated method small enough to be compiled
+    both = left.join(right, ["key", "bi", "bj"]).where(apart & sizes & first & pair)
+    return persist(both.select(F.col("x.entry").alias("a"), F.col("y.entry").alias("b")), "line-cross")
+
+
+def texts_of(ends: DataFrame, lines: DataFrame, places: DataFrame) -> DataFrame:
+    """(entry, line) of the entries ``ends`` (e). A line's text is fetched from its first place."""
     wanted = places.join(ends, F.col("entry") == F.col("e")).select("e", F.col("doc").alias("d"), F.col("copy").alias("c"), F.col("n").alias("k"))
     match = F.col("doc").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")) & (F.col("n") == F.col("k")) & (F.col("entry") == F.col("e"))
-    texts = persist(lines.join(wanted.hint("shuffle_hash"), match).select("entry", "line").dropDuplicates(["entry"]), "line-texts")
+    return persist(lines.join(wanted.hint("shuffle_hash"), match).select("entry", "line").dropDuplicates(["entry"]), "line-texts")
+
+
+def verified(ties: DataFrame, lines: DataFrame, places: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The ties (a, b) whose lines have at least the similarity ``threshold``."""
+    ends = ties.select(F.col("a").alias("e")).unionAll(ties.select(F.col("b").alias("e"))).distinct()
+    texts = texts_of(ends, lines, places)
     both = ties.join(texts.withColumnsRenamed({"entry": "a", "line": "la"}), "a").join(texts.withColumnsRenamed({"entry": "b", "line": "lb"}), "b")
     both = both.select("a", "b", shingle_set(F.col("la"), shingle).alias("sa"), shingle_set(F.col("lb"), shingle).alias("sb"))
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
@@ -115,7 +151,11 @@ def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     lines = lines_of(docs, id_col, text_col)
     place = F.struct("doc", "n", "copy")
     places = persist(lines.groupBy("entry").agg(F.min(place).alias("p"), F.count("*").alias("times")).select("entry", "p.doc", "p.n", "p.copy", "times"), "line-places")
-    classes = connected_components(verified(near_ties(lines, shingle), lines, places, shingle, threshold))
+    keyed = persist(band_keys(signatures(lines, shingle)), "line-keys")
+    buckets = shared_buckets(keyed)
+    classes = connected_components(verified(near_ties(keyed, buckets), lines, places, shingle, threshold))
+    links = cross_links(keyed, buckets, classes, lines, places, shingle, threshold)
+    classes = connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links))
     member = classes.select(F.col("node").alias("entry"), "component").join(places, "entry")
     first = member.groupBy("component").agg(F.min(place).alias("p"))
     near = member.join(first, "component").select("entry", F.col("p.doc").alias("kd"), F.col("p.copy").alias("kc"), F.col("p.n").alias("kn"))

@@ -49,6 +49,18 @@ def test_against_brute_force(spark, docs, prose):
     assert len(kept) == len(rows)
 
 
+def test_links_between_entries_that_a_bucket_s_least_is_unlike(spark, docs, prose):
+    r = random.Random(5)
+    rows = []
+    for i in range(20):
+        line = list(prose(500 + i, 18, 1))
+        for k in range(25):  # a chain: each line is near its neighbours only
+            line[r.randrange(len(line))] = r.choice("#$%&")
+            rows.append((25 * i + k, "".join(line)))
+    verdicts = L.line_verdicts(docs(rows)).where(~F.col("kept")).select("doc", "n").collect()
+    assert {(v.doc, v.n) for v in verdicts} == brute(rows)
+
+
 def test_empty_table_repeats_and_clashing_columns(spark, docs):
     assert L.dedup_lines(docs([])).count() == 0
     df = docs([(1, "one line of text here\nother"), (1, "one line of text here\nother"), (None, "one line of text here")]).withColumn("entry", F.lit(1)).withColumn("n", F.lit(2))

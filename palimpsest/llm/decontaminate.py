@@ -5,10 +5,7 @@ A document is contaminated by a benchmark item if some passage of it is within `
 
 1. Windows of an item's size are laid where they can succeed: an item cut into two pieces more than it may have edits keeps
    two of them untouched, so a window needs the first eight bytes of two pieces, not more than the edits out of line.
-2. The CGK embedding sends window and item down one random walk each, driven by shared random bits, so that edit distance
-   becomes Hamming distance. Repeated samples of places of the embedding are the LSH keys; a window stays if it agrees with
-   the item in one of them. ``WALKS`` x ``TABLES`` repeats find all of 555 test passages at the largest distance.
-3. What stays is verified by its exact edit distance, best over all passages around the window.
+2. Every such window is verified by its exact edit distance, best over all passages around it.
 
 Documents are never shuffled. Items are broadcast in blocks of at most ``ITEM_BYTES`` of text, one pass a block.
 
@@ -33,7 +30,6 @@ from palimpsest.llm.hashindex import MULTIPLIER, HashIndex
 ship_by_value(__name__)
 
 EDIT_SHARE, SEED_BYTES = 0.1, 8
-WALKS, TABLES, PLACES = 8, 48, 4
 ITEM_BYTES = 32 << 20
 SLICE = 1 << 20
 SPACES, PUNCTUATION = b"\t\n\v\f\r", string.punctuation.encode()
@@ -49,35 +45,8 @@ def most_edits(size: int, share: float = EDIT_SHARE) -> int:
     return max(0, min(int(share * size), size // SEED_BYTES - 2))
 
 
-class Walks:
-    """Shared random bits of the embedding, and the sampled places as shares of its length."""
-
-    def __init__(self, seed: int = 29):
-        rng = np.random.default_rng(seed)
-        self.bits = rng.integers(0, 2, (WALKS, 4096, 256), dtype=np.uint8)  # used again after 4096 steps
-        self.places = 0.6 * rng.random((WALKS, TABLES, PLACES))  # a walk uses its window up at about two thirds
-
-    def embed(self, walk: int, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Embedding of the windows ``data[start : start + size]``, three times their size; zero once a window is used up."""
-        steps = 3 * int(size.max())
-        out = np.zeros((len(start), steps), np.uint8)
-        at, end = start.astype(np.int64).copy(), (start + size).astype(np.int64)
-        top = len(data) - 1
-        for t in range(steps):
-            byte = np.where(at < end, data[np.minimum(at, top)], 0).astype(np.uint8)
-            out[:, t] = byte
-            at += self.bits[walk, t % 4096][byte]
-        return out
-
-    def keys(self, walk: int, embedding: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """One key per table: the bytes at its places."""
-        place = (self.places[walk].reshape(1, -1) * (3 * size)[:, None]).astype(np.int64)
-        byte = np.take_along_axis(embedding, place, axis=1).astype(np.uint32).reshape(len(size), TABLES, PLACES)
-        return (byte << (np.arange(PLACES, dtype=np.uint32) * np.uint32(8))).sum(axis=2, dtype=np.uint32)
-
-
 class Items:
-    """Benchmark items with their pieces and LSH keys."""
+    """Benchmark items with their pieces."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], share: float = EDIT_SHARE):
         kept = [(i, normal(t)) for i, t in rows]
@@ -100,10 +69,6 @@ class Items:
         self.index = HashIndex(distinct)
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(distinct * MULTIPLIER) >> np.uint64(42)] = True
-        self.walks = Walks()
-        data = np.frombuffer(b"".join(self.text) or b"\0", np.uint8)
-        start = np.cumsum(self.size) - self.size
-        self.keys = [self.walks.keys(w, self.walks.embed(w, data, start, self.size), self.size) for w in range(WALKS)] if kept else []
 
     def seeds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of a text that hold the beginning of a piece, and which entry of the index it is."""
@@ -119,8 +84,8 @@ class Items:
             entries.append(row[row >= 0])
         return np.concatenate(places), np.concatenate(entries)
 
-    def windows(self, data: np.ndarray, owner_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, start) of the windows that hold two pieces in line. Documents lie in ``data`` one after another."""
+    def windows(self, data: np.ndarray, owner_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, first start, last start) of the windows that hold two pieces in line. Documents lie in ``data`` one after another."""
         place, entry = self.seeds(data)
         count = self.first[entry + 1] - self.first[entry]
         pick = np.repeat(self.first[entry], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -132,25 +97,14 @@ class Items:
         same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (line[1:] - line[:-1] <= self.edits[item[1:]])
         group = np.append(0, np.cumsum(~same)) if len(doc) else np.zeros(0, np.int64)
         if not len(doc):
-            return doc, item, line
-        best = np.lexsort((offset, group))  # the first piece of a group that is untouched is the least out of line with the start
-        head = np.append(True, group[best][1:] != group[best][:-1])
+            return doc, item, line, line
+        head = np.flatnonzero(np.append(True, ~same))
+        tail = np.append(head[1:], len(doc)) - 1
         pieces = np.unique(np.stack([group, offset]), axis=1)[0]
-        several = np.bincount(pieces, minlength=int(group[-1]) + 1)
-        chosen = best[head]
-        enough = several[group[chosen]] >= np.where(self.size[item[chosen]] >= 2 * SEED_BYTES, 2, 1)
-        chosen = chosen[enough]
-        return doc[chosen], item[chosen], line[chosen]
-
-    def agree(self, data: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Whether a window has a sampled key in common with its item."""
-        out = np.zeros(len(item), bool)
-        size = self.size[item]
-        begin = np.maximum(start, 0)
-        for w in range(WALKS):
-            keys = self.walks.keys(w, self.walks.embed(w, data, begin, size), size)
-            out |= (keys == self.keys[w][item]).any(axis=1)
-        return out
+        several = np.bincount(pieces, minlength=len(head))
+        enough = several >= np.where(self.size[item[head]] >= 2 * SEED_BYTES, 2, 1)
+        head, tail = head[enough], tail[enough]
+        return doc[head], item[head], line[head], line[tail]
 
     def hits(self, texts: list[str | None]) -> list[list[tuple[int | None, int]]]:
         """(item id, distance) of the items that each text holds."""
@@ -165,16 +119,13 @@ class Items:
             raw = gap.join(group) + gap
             starts = np.cumsum([0] + [len(g) + SEED_BYTES for g in group[:-1]])
             data = np.frombuffer(raw, np.uint8)
-            doc, item, line = self.windows(data, starts)
-            if len(doc):
-                keep = self.agree(data, item, line)
-                for d, i, s in zip(doc[keep].tolist(), item[keep].tolist(), line[keep].tolist(), strict=True):
-                    most = int(self.edits[i])
-                    low = max(s - 2 * most, int(starts[d]))
-                    high = min(s + int(self.size[i]) + 2 * most, int(starts[d]) + len(group[d]))
-                    distance = least_distance(self.text[i], raw[low:high])
-                    if distance <= most:
-                        out[at + d][i] = min(distance, out[at + d].get(i, distance))
+            for d, i, first, last in zip(*(x.tolist() for x in self.windows(data, starts)), strict=True):
+                most = int(self.edits[i])  # a piece is out of line with its passage by that at most, and so is the passage's end
+                low = max(first - 2 * most, int(starts[d]))
+                high = min(last + int(self.size[i]) + 2 * most, int(starts[d]) + len(group[d]))
+                distance = least_distance(self.text[i], raw[low:high])
+                if distance <= most:
+                    out[at + d][i] = min(distance, out[at + d].get(i, distance))
             at += len(group)
         return [sorted(((self.ids[i], x) for i, x in found.items()), key=lambda h: (h[0] is not None, h[0] or 0, h[1])) for found in out]
 

@@ -56,6 +56,19 @@ def test_recall_at_the_largest_distance_and_no_false_hit(prose):
     assert sum(bool(f) for n, f in enumerate(found) if n % 3) >= 199 and not any(f for n, f in enumerate(found) if n % 3 == 0)
 
 
+def test_edits_in_one_run_near_the_start(prose):
+    r = random.Random(12)
+    items = [(k, prose(3000 + k, 36)) for k in range(20)]
+    texts = []
+    for n in range(200):
+        text = D.normal(items[n % 20][1]).decode()
+        run, at = D.most_edits(len(text)), r.randrange(len(text) // 50, len(text) // 10)
+        text = text[:at] + ("".join(r.choice(LETTERS) for _ in range(run)) if n % 40 < 20 else "") + text[at if n % 40 < 20 else at + run :]
+        texts.append(prose(n, 40) + " " + text + " " + prose(n + 500, 40))
+    found = D.Items(items).hits(texts)
+    assert [n for n, f in enumerate(found) if n % 20 not in [i for i, _ in f]] == []
+
+
 @pytest.mark.parametrize("item,text,hit", [("short", "short", False), ("exactly ten", "say exactly ten!", True), ("exactly ten", "exactly tan", False)])
 def test_small_items(item, text, hit):
     assert bool(D.Items([(1, item)]).hits([text])[0]) is hit

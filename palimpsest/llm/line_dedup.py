@@ -4,22 +4,26 @@
 2. An entry's signature comes from its distinct character shingles by one-permutation hashing: one 64-bit hash a shingle,
    whose leading bits choose a bin and whose rest competes for the bin's minimum. Only shingles among the few smallest
    expected in a bin are kept before aggregation. Empty bins borrow from the next.
-3. Rows of the signature form bands. An entry is tied to the least entry of each of its buckets. Ties whose whole signatures
-   share too few bins go; the rest is verified by exact Jaccard similarity of the shingle sets.
-4. Union-find (large-star, small-star) gives components. In buckets that still hold several of them, all other pairs of
-   different components are compared likewise, inside the join's condition, so that only links become rows. A large bucket
-   is dealt out as pairs of blocks of ``BLOCK`` entries, and a pair is compared in the first bucket it shares only.
-5. Components of all links; the first place of each keeps its line.
+3. Rows of the signature form bands; their height follows from the threshold (``rows_for``). An entry is tied to the least
+   entry of each of its buckets. Ties whose whole signatures share too few bins (``least_equal``) go; the rest is verified
+   by exact Jaccard similarity of the shingle sets. Union-find (large-star, small-star) gives components.
+4. Entries that share two buckets, neither as its least, are paired if they are in different components. In such a group
+   the largest component is never paired with itself, so near copies in a group of any size cost a row each; a large
+   group is dealt out by blocks of ``BLOCK``. The pairs are filtered and verified likewise, the likeliest partner of each
+   entry first, and their links join components.
+5. The first place of each component keeps its line.
 
 Shingles are slices of the line's UTF-32 form, exploded and hashed inside generated code; their minima are aggregated before
-anything is shuffled. Texts are shuffled once for each of steps 3 and 4, and only lines that they need are compared.
+anything is shuffled. Texts are shuffled once, and only lines that steps 3 and 4 may need are compared.
 
 Defined cases: null texts stay null and empty texts empty; blank lines are kept; a line shorter than a shingle only equals
-itself; rows without a doc_id, and documents that repeat a doc_id, are told apart by their content; an empty table gives no row.
+itself; rows without a doc_id, and documents that repeat a doc_id, are told apart by their content; an empty table gives no row;
+columns whose names clash with those made here give way only inside, ``dedup_lines`` returns all of them.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,12 +32,25 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import persist, table
 from palimpsest.llm.components import connected_components
 
-SHINGLE, THRESHOLD = 6, 0.8
-BANDS, ROWS = 8, 3
-BINS = BANDS * ROWS
-LEAST_EQUAL = 11  # bins that a tie must share: of 24 at similarity 0.8, fewer are equal in one of 7000 ties
+SHINGLE, THRESHOLD, BINS = 6, 0.8, 24
 DENSITY = 2  # smallest shingles expected to stay in a bin
 BLOCK = 256
+LANES, LOW, HIGH = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080  # bins a number holds, eight bits each
+
+
+def at_least(k: int, n: int, p: float) -> float:
+    """P(Binomial(n, p) >= k)."""
+    return 1 - sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
+
+
+def rows_for(threshold: float, bins: int = BINS, recall: float = 0.96) -> int:
+    """The tallest bands of which a pair at the threshold still shares two."""
+    return max((r for r in range(1, bins) if bins % r == 0 and at_least(2, bins // r, threshold**r) >= recall), default=1)
+
+
+def least_equal(threshold: float, bins: int = BINS, loss: float = 0.002) -> int:
+    """Bins that a pair must share: at the threshold, fewer are equal with a probability of ``loss`` at most."""
+    return max(m for m in range(bins + 1) if m == 0 or 1 - at_least(m, bins, threshold) <= loss)
 
 
 def wide(line: Column) -> Column:
@@ -55,7 +72,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def signatures(lines: DataFrame, shingle: int = SHINGLE, bins: int = BINS, density: int = DENSITY) -> DataFrame:
     """(entry, b0 ... b{bins-1}): the least hash of each bin, null where it is empty."""
     count = F.char_length("line") - shingle + 1
-    level = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.floor(F.log2(count / (density * bins))).cast("double"))).cast("long")  # by powers of two, so that similar lines have one limit
+    level = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.round(F.log2(count / (density * bins))))).cast("long")  # by powers of two, so that similar lines have one limit
     whole = lines.where(count >= 1).select("entry", wide(F.col("line")).alias("w"), level.alias("level"), count.alias("count"))  # once a line, below the explode
     rows = whole.select("entry", "w", "level", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
     hashed = rows.select("entry", "level", shingle_hash(F.col("w"), F.col("at"), shingle).alias("h"))
@@ -65,65 +82,71 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE, bins: int = BINS, densi
     return near.groupBy("entry").agg(*[F.min(F.when(F.col("place") == b, F.col("value"))).alias(f"b{b}") for b in range(bins)])
 
 
-def band_keys(signature: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(entry, keys, sig): one key for each band, and the low 16 bits of every bin, four to a number. An empty bin takes the value of the next full one, marked with the distance."""
-    bins = bands * rows
+def band_keys(signature: DataFrame, rows: int, bins: int = BINS) -> DataFrame:
+    """(entry, keys, s0, s1 ...): one key for each band, and the low 8 bits of every bin, seven to a number. An empty bin takes the value of the next full one, marked with the distance."""
     full = [F.coalesce(F.col(f"b{b}"), *[F.col(f"b{(b + d) % bins}") + (d << 33) for d in range(1, bins)]) for b in range(bins)]
-    keys = [F.xxhash64(F.lit(k), *full[k * rows : (k + 1) * rows]) for k in range(bands)]
-    lanes = [F.shiftleft(f.bitwiseAND(0xFFFF), 16 * (b % 4)) for b, f in enumerate(full)]
-    sig = [reduce(lambda x, y: x.bitwiseOR(y), lanes[b : b + 4]) for b in range(0, bins, 4)]
-    return signature.select("entry", F.array(*keys).alias("keys"), F.array(*sig).alias("sig"))
+    keys = [F.xxhash64(F.lit(k), *full[k * rows : (k + 1) * rows]) for k in range(bins // rows)]
+    lanes = [F.shiftleft(f.bitwiseAND(0xFF), 8 * (b % LANES)) for b, f in enumerate(full)]
+    sigs = [reduce(lambda x, y: x.bitwiseOR(y), lanes[b : b + LANES]).alias(f"s{b // LANES}") for b in range(0, bins, LANES)]
+    return signature.select("entry", F.array(*keys).alias("keys"), *sigs)
 
 
-def equal_bins(a: str | Column, b: str | Column, bins: int) -> Column:
-    """How many 16-bit lanes two signatures share."""
-    parts = [F.when(F.shiftrightunsigned(F.get(a, k // 4).bitwiseXOR(F.get(b, k // 4)), 16 * (k % 4)).bitwiseAND(0xFFFF) == 0, 1).otherwise(0) for k in range(bins)]
-    return reduce(lambda x, y: x + y, parts)
+def equal_bins(x: str, y: str, bins: int = BINS) -> Column:
+    """How many bins two signatures (columns x0, x1 ... and y0, y1 ...) share: lanes whose difference is zero."""
+    out = F.lit(0)
+    for k in range(-(-bins // LANES)):
+        apart = F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))
+        marks = F.bitwise_not((apart.bitwiseAND(F.lit(LOW)) + F.lit(LOW)).bitwiseOR(apart)).bitwiseAND(F.lit(HIGH))
+        out = out + F.bit_count(marks)
+    return out - (-bins % LANES)  # lanes without a bin are always equal
 
 
 def shingle_set(line: Column, shingle: int) -> Column:
     """Hashes of the distinct shingles. The wide form is bound by the outer lambda, so it is made once a line."""
-    last = F.char_length(line) - shingle
-    return F.array_distinct(F.element_at(F.transform(F.array(wide(line)), lambda w: F.transform(F.sequence(F.lit(0), last), lambda at: shingle_hash(w, at, shingle))), 1))
+    last = (F.char_length(line) - shingle) * 4 + 1
+    return F.array_distinct(F.element_at(F.transform(F.array(wide(line)), lambda w: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(F.substring(w, at, F.lit(shingle * 4))))), 1))
 
 
-def near_ties(keyed: DataFrame, buckets: DataFrame, least_equal: int = LEAST_EQUAL) -> DataFrame:
-    """Ties (a, b) of entries that share a bucket, each with the bucket's least, and at least so many bins."""
-    pairs = buckets.where(F.col("entry") != F.col("lo")).select(F.col("entry").alias("a"), F.col("lo").alias("b")).distinct()
-    ties, sigs = persist(pairs, "line-ties"), keyed.select("entry", "sig")
-    both = ties.join(sigs.withColumnsRenamed({"entry": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"entry": "b", "sig": "y"}), "b")
-    return persist(both.where(equal_bins("x", "y", BINS) >= least_equal).select("a", "b"), "line-near")
+def _sigs(keyed: DataFrame, entry: str, prefix: str) -> DataFrame:
+    return keyed.select(F.col("entry").alias(entry), *[F.col(c).alias(prefix + c[1:]) for c in keyed.columns if c[0] == "s"])
 
 
 def shared_buckets(keyed: DataFrame) -> DataFrame:
-    """(key, entry, band, lo, c): the entries of each bucket of two or more, its least entry and their number."""
-    keys = keyed.select("entry", F.posexplode("keys").alias("band", "key"))
+    """(key, entry, lo, c): the entries of each bucket of two or more, its least entry and their number."""
+    keys = keyed.select("entry", F.explode("keys").alias("key"))
     bucket = keys.groupBy("key").agg(F.min("entry").alias("lo"), F.count("*").alias("c")).where(F.col("c") > 1)
-    return persist(keys.join(bucket, "key").select("key", "entry", "band", "lo", "c"), "line-buckets")
-
-
-def cross_links(keyed: DataFrame, buckets: DataFrame, classes: DataFrame, lines: DataFrame, places: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, least_equal: int = LEAST_EQUAL, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of entries that share a bucket, neither its least, and that ``classes`` (node, component) holds apart."""
-    rest = buckets.where((F.col("c") > 2) & (F.col("entry") != F.col("lo"))).select("key", "band", "entry")
-    rest = rest.join(classes.select(F.col("node").alias("entry"), "component"), "entry", "left").select("key", "band", "entry", F.coalesce("component", "entry").alias("own"))
-    rest = persist(rest, "line-rest")
-    mixed = rest.groupBy("key").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = persist(rest.join(mixed.where(F.col("least") != F.col("most")).select("key", "blocks"), "key"), "line-mixed")
-    texts = texts_of(rows.select(F.col("entry").alias("e")).distinct(), lines, places)
-    held = keyed.join(texts, "entry").select("entry", "keys", "sig", "line")
-    rows = rows.join(held, "entry").withColumn("at", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
-    rows = persist(rows.select("key", "band", "blocks", "at", "entry", "own", F.slice("keys", F.lit(1), F.col("band")).alias("keys"), "sig", "line"), "line-rows")
-    sets = F.struct("entry", "own", "keys", "sig", "set", F.size("set").alias("n"))  # made after the shuffle, as they are several times a line
-    dealt = lambda df: df.repartition("key", "bi", "bj").withColumn("set", shingle_set(F.col("line"), shingle))
-    left = dealt(rows.withColumns({"bi": F.col("at"), "bj": F.explode(F.sequence(F.col("at"), F.col("blocks") - 1))})).select("key", "bi", "bj", "band", sets.alias("x"))
-    right = dealt(rows.withColumns({"bi": F.explode(F.sequence(F.lit(0), F.col("at"))), "bj": F.col("at")})).select("key", "bi", "bj", sets.alias("y"))
-    apart = (F.col("x.own") != F.col("y.own")) & ((F.col("bi") != F.col("bj")) | (F.col("x.entry") > F.col("y.entry")))
-    first = reduce(lambda p, q: p & q, [(F.col("band") <= k) | (F.get("x.keys", k) != F.get("y.keys", k)) for k in range(BANDS - 1)])
-    sizes = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
-    alike = lambda p: (equal_bins(p["x"]["sig"], p["y"]["sig"], BINS) >= least_equal) & (F.size(F.array_intersect(p["x"]["set"], p["y"]["set"])) * (1 + threshold) >= threshold * (p["x"]["n"] + p["y"]["n"]) - 1e-9)
-    pair = F.exists(F.array(F.struct("x", "y")), alike)  # a lambda keeps the join's generated method small enough to be compiled
-    both = left.join(right, ["key", "bi", "bj"]).where(apart & sizes & first & pair)
-    return persist(both.select(F.col("x.entry").alias("a"), F.col("y.entry").alias("b")), "line-cross")
+    return persist(keys.join(bucket.hint("shuffle_hash"), "key").select("key", "entry", "lo", "c"), "line-buckets")
+
+
+def near_ties(keyed: DataFrame, buckets: DataFrame, least: int) -> DataFrame:
+    """Ties (a, b) of entries that share a bucket, each with the bucket's least, and at least so many bins."""
+    ties = buckets.where(F.col("entry") != F.col("lo")).select(F.col("entry").alias("a"), F.col("lo").alias("b")).distinct()
+    both = ties.join(_sigs(keyed, "a", "x"), "a").join(_sigs(keyed, "b", "y"), "b")
+    return persist(both.where(equal_bins("x", "y") >= least).select("a", "b"), "line-near")
+
+
+def double_buckets(buckets: DataFrame) -> DataFrame:
+    """(dk, entry): entries that share two buckets, of neither of which they are the least."""
+    rest = buckets.where((F.col("c") > 2) & (F.col("entry") != F.col("lo"))).groupBy("entry").agg(F.array_sort(F.collect_list("key")).alias("ks")).where(F.size("ks") > 1)
+    pairs = rest.select("entry", "ks", F.explode(F.sequence(F.lit(0), F.size("ks") - 2)).alias("i"))
+    pairs = pairs.select("entry", F.explode(F.transform(F.slice("ks", F.col("i") + 2, F.size("ks")), lambda k: F.xxhash64(F.get("ks", F.col("i")), k))).alias("dk"))
+    several = pairs.groupBy("dk").agg(F.count("*").alias("m")).where(F.col("m") > 1).select("dk")
+    return persist(pairs.join(several, "dk").select("dk", "entry"), "line-doubles")
+
+
+def cross_ties(doubles: DataFrame, keyed: DataFrame, classes: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+    """Ties (a, b, oa, ob, same) of entries that share a double bucket, the components that ``classes`` (node, component) puts them in, and the bins they share."""
+    rows = doubles.join(classes.select(F.col("node").alias("entry"), "component"), "entry", "left").select("dk", "entry", F.coalesce("component", "entry").alias("own"))
+    rows = persist(rows, "line-rows")
+    held = rows.groupBy("dk", "own").agg(F.count("*").alias("m"))
+    mixed = held.groupBy("dk").agg(F.max_by("own", F.struct("m", "own")).alias("main"), F.count("*").alias("owns"), F.ceil(F.sum("m") / block).cast("int").alias("blocks"))
+    rows = rows.join(mixed.where(F.col("owns") > 1).select("dk", "main", "blocks"), "dk")
+    left = rows.where(F.col("own") != F.col("main")).select("dk", F.col("entry").alias("a"), F.col("own").alias("oa"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+    right = rows.select("dk", F.col("entry").alias("b"), F.col("own").alias("ob"), "main", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int").alias("at"))
+    left, right = left.join(_sigs(keyed, "a", "x"), "a"), right.join(_sigs(keyed, "b", "y"), "b")
+    apart = (F.col("oa") != F.col("ob")) & ((F.col("ob") == F.col("main")) | (F.col("a") > F.col("b")))
+    both = left.join(right, ["dk", "at"]).where(apart & (equal_bins("x", "y") >= least))
+    return persist(both.select("a", "b", "oa", "ob", equal_bins("x", "y").alias("same")).distinct(), "line-cross")
 
 
 def texts_of(ends: DataFrame, lines: DataFrame, places: DataFrame) -> DataFrame:
@@ -133,40 +156,63 @@ def texts_of(ends: DataFrame, lines: DataFrame, places: DataFrame) -> DataFrame:
     return persist(lines.join(wanted.hint("shuffle_hash"), match).select("entry", "line").dropDuplicates(["entry"]), "line-texts")
 
 
-def verified(ties: DataFrame, lines: DataFrame, places: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The ties (a, b) whose lines have at least the similarity ``threshold``."""
-    ends = ties.select(F.col("a").alias("e")).unionAll(ties.select(F.col("b").alias("e"))).distinct()
+def verified(ties: DataFrame, texts: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The ties (a, b) whose lines have at least the similarity ``threshold``.
+
+    Ties carry a's line to where b's shingles, made once a hub, are hashed; a hub of very many ties is split by the adaptive join.
+    """
+    hubs = texts.select(F.col("entry").alias("b"), F.col("line").alias("lb")).join(ties.select("b").distinct(), "b").repartition("b").select("b", shingle_set(F.col("lb"), shingle).alias("sb"))
+    both = ties.join(texts.select(F.col("entry").alias("a"), F.col("line").alias("la")), "a").join(hubs.hint("shuffle_hash"), "b")
+    both = both.select(*ties.columns, shingle_set(F.col("la"), shingle).alias("sa"), "sb")
+    both = both.select(*ties.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.where(F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9).select(*ties.columns)
+
+
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (node, component) once ``links`` (oa, ob) join components; an entry in no class is its own component."""
+    joined = connected_components(links.select(F.col("oa").alias("a"), F.col("ob").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    moved = classes.join(joined, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    alone = joined.join(classes.select("component").distinct(), F.col("was") == F.col("component"), "left_anti")
+    return persist(moved.unionAll(alone.select("was", "now")), "line-classes")
+
+
+def line_classes(lines: DataFrame, places: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of the entries that are like another."""
+    least = least_equal(threshold)
+    keyed = persist(band_keys(signatures(lines, shingle), rows_for(threshold)), "line-keys")
+    buckets = shared_buckets(keyed)
+    near, doubles = near_ties(keyed, buckets, least), double_buckets(buckets)
+    ends = near.select(F.col("a").alias("e")).unionAll(near.select("b")).unionAll(doubles.select("entry")).distinct()
     texts = texts_of(ends, lines, places)
-    both = ties.join(texts.withColumnsRenamed({"entry": "a", "line": "la"}), "a").join(texts.withColumnsRenamed({"entry": "b", "line": "lb"}), "b")
-    both = both.select("a", "b", shingle_set(F.col("la"), shingle).alias("sa"), shingle_set(F.col("lb"), shingle).alias("sb"))
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.where(F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9).select("a", "b")
+    classes = persist(connected_components(verified(near, texts, shingle, threshold)), "line-classes")
+    ties = cross_ties(doubles, keyed, classes, least)
+    best = ties.groupBy("a").agg(F.max_by(F.struct("b", "oa", "ob"), F.struct("same", "b")).alias("t")).select("a", "t.*")
+    classes = merged(classes, verified(best, texts, shingle, threshold))
+    now = lambda e: classes.select(F.col("node").alias(e), F.col("component").alias(f"now_{e}"))
+    rest = ties.join(now("a"), "a", "left").join(now("b"), "b", "left").select("a", "b", F.coalesce("now_a", "a").alias("oa"), F.coalesce("now_b", "b").alias("ob"))
+    return merged(classes, verified(rest.where(F.col("oa") != F.col("ob")), texts, shingle, threshold))
 
 
 def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """All non-blank lines, and, for each entry with more than one line in its class, the place (kd, kc, kn) that keeps its line.
+    """All non-blank lines (doc, copy, n, entry, size), and, for each entry with more than one line in its class, the place (kd, kc, kn) that keeps its line.
 
     Places are compared as (doc, n, copy), nulls first.
     """
     lines = lines_of(docs, id_col, text_col)
+    light = persist(lines.select("doc", "copy", "n", "entry", F.char_length("line").alias("size")), "line-light")
     place = F.struct("doc", "n", "copy")
-    places = persist(lines.groupBy("entry").agg(F.min(place).alias("p"), F.count("*").alias("times")).select("entry", "p.doc", "p.n", "p.copy", "times"), "line-places")
-    keyed = persist(band_keys(signatures(lines, shingle)), "line-keys")
-    buckets = shared_buckets(keyed)
-    classes = connected_components(verified(near_ties(keyed, buckets), lines, places, shingle, threshold))
-    links = cross_links(keyed, buckets, classes, lines, places, shingle, threshold)
-    classes = connected_components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links))
+    places = persist(light.groupBy("entry").agg(F.min(place).alias("p"), F.count("*").alias("times")).select("entry", "p.doc", "p.n", "p.copy", "times"), "line-places")
+    classes = line_classes(lines, places, shingle, threshold)
     member = classes.select(F.col("node").alias("entry"), "component").join(places, "entry")
     first = member.groupBy("component").agg(F.min(place).alias("p"))
     near = member.join(first, "component").select("entry", F.col("p.doc").alias("kd"), F.col("p.copy").alias("kc"), F.col("p.n").alias("kn"))
     alone = places.where(F.col("times") > 1).join(classes.select(F.col("node").alias("entry")), "entry", "left_anti")
-    return lines, near.unionAll(alone.select("entry", F.col("doc").alias("kd"), F.col("copy").alias("kc"), F.col("n").alias("kn")))
+    return light, near.unionAll(alone.select("entry", F.col("doc").alias("kd"), F.col("copy").alias("kc"), F.col("n").alias("kn")))
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, copy, n, entry, size, kept) for every non-blank line."""
-    lines, keep = keepers(docs, id_col, text_col, shingle, threshold)
-    light = lines.select("doc", "copy", "n", "entry", F.char_length("line").alias("size"))
+    light, keep = keepers(docs, id_col, text_col, shingle, threshold)
     kept = F.col("kn").isNull() | (F.col("doc").eqNullSafe(F.col("kd")) & (F.col("copy") == F.col("kc")) & (F.col("n") == F.col("kn")))
     return light.join(keep, "entry", "left").select("doc", "copy", "n", "entry", "size", kept.alias("kept"))
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from palimpsest.llm import line_dedup as L
 from pyspark.sql import functions as F
 
@@ -71,3 +73,42 @@ def test_empty_table_repeats_and_clashing_columns(spark, docs):
 def test_main_path_runs_no_python(spark, docs):
     plan = L.line_verdicts(docs([(1, "a line of text\nb")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def similarity(x, y, k=L.SHINGLE):
+    a, b = ({t[j : j + k] for j in range(len(t) - k + 1)} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9])
+def test_recall_of_pairs_at_other_thresholds(spark, docs, prose, threshold):
+    r = random.Random(9)
+    rows = []
+    for i in range(150):
+        line = prose(9000 + i, 24, 1)
+        other, best = list(line), line
+        for at in r.sample(range(len(line)), len(line)):  # edits until the next one would end the likeness
+            other[at] = "#"
+            if similarity(line, "".join(other)) < threshold:
+                break
+            best = "".join(other)
+        rows += [(2 * i, line), (2 * i + 1, best)]
+    gone = {v.doc for v in L.line_verdicts(docs(rows), threshold=threshold).where(~F.col("kept")).select("doc").collect()}
+    assert len(gone) >= 0.9 * 150 and all(d % 2 for d in gone)
+
+
+def test_bands_follow_the_threshold():
+    assert [L.rows_for(t) for t in (0.5, 0.8, 0.9)] == [1, 3, 4] and L.least_equal(0.5) < L.least_equal(0.8) < L.least_equal(0.9)
+
+
+def test_one_group_of_near_copies_and_outsiders(spark, docs, prose):
+    r = random.Random(4)
+    line, rows = prose(77, 30, 1), []
+    for i in range(600):
+        other = list(line)
+        for at in r.sample(range(len(line)), 2):
+            other[at] = chr(0x3B1 + r.randrange(20))
+        rows.append((i, "".join(other)))
+    rows += [(1000 + i, prose(5000 + i, 30, 1)) for i in range(30)]
+    gone = {v.doc for v in L.line_verdicts(docs(rows)).where(~F.col("kept")).select("doc").collect()}
+    assert gone == set(range(1, 600))

@@ -1,49 +1,41 @@
-"""Fuzzy line dedup by MinHash.
-
-1. Equal lines (trimmed of spaces) become one entry, addressed by a 64-bit hash and held by their first place, (doc_id, line
-   number).
-2. A line's signature comes from its distinct character shingles by one-permutation hashing: one hash a shingle, whose leading
-   bits choose a bin and whose rest competes for the bin's minimum. Empty bins borrow from the next. Rows of the signature
-   form bands; their height follows from the threshold (``rows_for``).
-3. Entries that share two bands are candidates. Each is tied to the least entry of every such pair of bands, and connected
-   components of these ties hold every candidate pair.
-4. Inside a component all pairs are compared by minimum hashes that drop the hopeless, then by exact Jaccard similarity of
-   the shingle sets. A component of more than ``BLOCK`` entries is dealt out as pairs of blocks. Pairs never leave a task:
-   it returns, for each entry, the least entry it is connected to.
-5. Union-find (large-star, small-star) gives components of links; the first place of each keeps its line.
-
-Signatures and comparisons run over Arrow batches: in DataFrame functions alone, all pairs of a bucket did not fit the limits
-(README). The rest is DataFrame operations. Texts are shuffled once, and only lines with a candidate are compared.
+"""Fuzzy line dedup by MinHash, in DataFrame operations only.
+
+1. Equal lines (trimmed) become one entry, addressed by a 64-bit hash and held by their first place, (doc_id, line number).
+2. An entry's signature comes from its distinct character shingles by one-permutation hashing: one 64-bit hash a shingle,
+   whose leading bits choose a bin and whose rest competes for the bin's minimum. Only shingles among the few smallest
+   expected in a bin are kept before aggregation. Empty bins borrow from the next.
+3. Rows of the signature form bands; their height follows from the threshold (``rows_for``). Entries of a bucket of up to
+   ``FEW`` are tied in all pairs, those of a larger one to its hubs, the least entries in ``len(ORDERS)`` different orders.
+   Ties whose whole signatures share too few bins (``least_equal``) go; the rest is verified by exact Jaccard similarity of
+   the shingle sets, first those with a bucket's least, then those whose ends are still in different components.
+4. Union-find (large-star, small-star) gives components.
+5. The first place of each component keeps its line.
+
+Shingles are slices of the line's UTF-32 form, exploded and hashed inside generated code; their minima are aggregated before
+anything is shuffled. Texts are shuffled once, and only lines with a tie are compared. All steps cost in proportion to the
+lines, also where thousands of lines are alike; what hubs miss of all pairs of a large bucket is measured in the README.
 
 Defined cases: null texts stay null and empty texts empty; blank lines are kept; a line shorter than a shingle only equals
 itself; rows without a doc_id, and documents that repeat a doc_id, are told apart by their content; an empty table gives no row;
-``dedup_lines`` returns all columns of its input, whatever their names.
+columns whose names clash with those made here give way only inside, ``dedup_lines`` returns all of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import give_back, persist, ship_by_value, table
+from palimpsest.llm.common import persist, table
 from palimpsest.llm.components import connected_components
-from palimpsest.llm.ngram_join import hash_family, join_group
 
-ship_by_value(__name__)
-
-SHINGLE, THRESHOLD, BINS = 6, 0.8, 27
+SHINGLE, THRESHOLD, BINS = 6, 0.8, 21
 DENSITY = 2  # smallest shingles expected to stay in a bin
-BLOCK, HASHES, TOLERANCE = 512, 64, 1e-7
-FEW = 8  # a group of so few entries is compared exactly at once
-UNIT = 1 << 19  # characters hashed at once
-FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-SKETCH = "doc long, copy long, n int, size int, entry long, keys array<long>"
+FEW = 16
+ORDERS = (0, -1, 0x5555555555555555)  # hubs are least after an exclusive or with these
+LANES, LOW, HIGH = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080  # bins a number holds, eight bits each
 
 
 def at_least(k: int, n: int, p: float) -> float:
@@ -51,194 +43,141 @@ def at_least(k: int, n: int, p: float) -> float:
     return 1 - sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
 
 
-def rows_for(threshold: float, bins: int = BINS, recall: float = 0.97) -> int:
-    """The tallest bands of which a pair at the threshold still shares two."""
-    return max((r for r in range(1, bins) if at_least(2, bins // r, threshold**r) >= recall), default=1)
-
-
-def shingle_hashes(chars: np.ndarray, shingle: int) -> np.ndarray:
-    """A 64-bit hash of the shingle that starts at each place."""
-    count = len(chars) - shingle + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(count, np.uint64)
-    for k in range(shingle):
-        h *= FACTOR
-        h += chars[k : k + count]
-    h ^= h >> np.uint64(31)
-    h *= MIX
-    h ^= h >> np.uint64(29)
-    return h
-
-
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def signatures(lines: list[str], shingle: int = SHINGLE, bins: int = BINS, density: int = DENSITY, unit: int = UNIT) -> np.ndarray:
-    """The least hash of each bin of each line; an empty bin takes the value of the next full one, marked with the distance.
-    Rows of lines without a shingle are all the same. Memory is bounded by ``unit``, however long a line is."""
-    empty = np.uint64((1 << 64) - 1)
-    out = np.full(len(lines) * bins, empty)
-    count = np.maximum(np.fromiter(map(len, lines), np.int64, len(lines)) - shingle + 1, 0)
-    level = np.exp2(np.maximum(0, np.round(np.log2(np.maximum(count, 1) / (density * bins))))).astype(np.uint64)  # by powers of two, so that similar lines have one limit
-    limit = (np.uint64(1 << 32) // level).astype(np.uint64)
-    at, offset = 0, 0
-    while at < len(lines):
-        parts, owner, size = [], [], 0
-        while at < len(lines) and size < unit:  # a long line is read in pieces that overlap by a shingle less one
-            piece = lines[at] if not offset and len(lines[at]) <= unit else lines[at][offset : offset + unit]
-            parts.append(piece)
-            owner.append(at)
-            size += len(piece)
-            offset = offset + unit - shingle + 1 if offset + unit < len(lines[at]) else 0
-            at += offset == 0
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        chars = code_points("".join(parts))
-        h = shingle_hashes(chars, shingle)
-        ends = np.cumsum(sizes)
-        whole = np.ones(len(chars) + 1, bool)
-        for k in range(1, shingle):  # shingles that would run into the next line
-            whole[np.maximum(ends - k, 0)] = False
-        line = np.repeat(np.array(owner), sizes)[: len(h)]
-        value = h & np.uint64(0xFFFFFFFF)
-        near = np.flatnonzero(whole[: len(h)] & (value < limit[line]))
-        line, h, value = line[near], h[near], value[near]
-        place = ((h >> np.uint64(33)) % np.uint64(bins)).astype(np.int64)
-        np.minimum.at(out, line * bins + place, value)
-    out = out.reshape(len(lines), bins)
-    full = out.copy()
-    for d in range(1, bins):
-        lack = full == empty
-        if not lack.any():
-            break
-        other = np.roll(out, -d, axis=1)
-        full = np.where(lack & (other != empty), other + np.uint64(d << 33), full)
-    return full
-
-
-def band_keys(full: np.ndarray, rows: int) -> np.ndarray:
-    """One key for each band of each line."""
-    bands = full.shape[1] // rows
-    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * MIX, (len(full), bands)).copy()
-    for r in range(rows):
-        h = (h ^ full[:, r : bands * rows : rows]) * FACTOR
-        h ^= h >> np.uint64(32)
-    return h.view(np.int64)
-
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float) -> DataFrame:
-    """(doc, copy, n, size, entry, keys) for every non-blank line. ``copy`` tells documents with one id apart; no shuffle."""
-    rows = rows_for(threshold)
-    schema = pa.schema([("doc", pa.int64()), ("copy", pa.int64()), ("n", pa.int32()), ("size", pa.int32()), ("entry", pa.int64()), ("keys", pa.list_(pa.int64()))])
-
-    def finish(lines: list[str], docs: list, copies: list, numbers: list[int]) -> pa.RecordBatch:
-        keys = band_keys(signatures(lines, shingle), rows)
-        entry = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines)).view(np.int64)
-        sizes = np.fromiter(map(len, lines), np.int32, len(lines))
-        held = np.where(sizes >= shingle, keys.shape[1], 0)
-        offsets = pa.array(np.append(0, np.cumsum(held)), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(keys[sizes >= shingle].ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(copies, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sizes), pa.array(entry), lists], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, ids, copies, numbers, size = [], [], [], [], 0
-        for batch in batches:
-            for doc, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc", "copy", "text")), strict=True):
-                for n, line in enumerate((text or "").split("\n")):
-                    line = line.strip(" ")
-                    if not line:
-                        continue
-                    lines.append(line)
-                    ids.append(doc)
-                    copies.append(copy)
-                    numbers.append(n)
-                    size += len(line)
-                    if size >= UNIT:
-                        yield finish(lines, ids, copies, numbers)
-                        lines, ids, copies, numbers, size = [], [], [], [], 0
-        if lines:
-            yield finish(lines, ids, copies, numbers)
-        give_back()
-
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
-
-
-def candidates(sketch: DataFrame) -> DataFrame:
-    """Ties (a, b): entries that share two bands, each with the least of those that share both."""
-    keys = sketch.select("entry", F.explode("keys").alias("key"))
-    bucket = keys.groupBy("key").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    shared = keys.join(bucket.hint("shuffle_hash"), "key").groupBy("entry").agg(F.array_sort(F.collect_set("key")).alias("ks")).where(F.size("ks") > 1)
-    pairs = shared.select("entry", "ks", F.explode(F.sequence(F.lit(0), F.size("ks") - 2)).alias("i"))
-    pairs = pairs.select("entry", F.explode(F.transform(F.slice("ks", F.col("i") + 2, F.size("ks")), lambda k: F.xxhash64(F.get("ks", F.col("i")), k))).alias("dk"))
-    pairs = persist(pairs, "line-bands")
-    least = pairs.groupBy("dk").agg(F.min("entry").alias("lo"), F.max("entry").alias("hi")).where(F.col("lo") != F.col("hi")).select("dk", "lo")
-    return pairs.join(least.hint("shuffle_hash"), "dk").where(F.col("entry") != F.col("lo")).select(F.col("entry").alias("a"), F.col("lo").alias("b")).distinct()
-
-
-def _compare(shingle: int, threshold: float):
-    """For rows dealt by (component, bi, bj) and sorted by them: (a, b), each entry and the least it is connected to."""
-    family, none = hash_family(HASHES, seed=23), hash_family(0)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def close(group: tuple, rows: dict[int, tuple]) -> pa.RecordBatch | None:
-        order = sorted(rows)  # the least number is then the least entry
-        sets = [np.unique(shingle_hashes(code_points(rows[r][1]), shingle)) for r in order]
-        second = np.array([rows[r][0] for r in order], bool)
-        root, links = join_group(np.ones(len(order), np.int64), second, sets, group[1] != group[2], none if len(order) <= FEW else family, threshold, TOLERANCE)
-        reps = np.array(order, np.int64)
-        hit = root != np.arange(len(order))
-        return pa.RecordBatch.from_arrays([pa.array(reps[hit]), pa.array(reps[root[hit]])], schema=schema) if hit.any() else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, {}
-        for batch in batches:
-            for component, bi, bj, entry, other, line in zip(*(batch.column(c).to_pylist() for c in ("component", "bi", "bj", "entry", "second", "line")), strict=True):
-                if (component, bi, bj) != group:
-                    done = close(group, rows) if len(rows) > 1 else None
-                    if done is not None:
-                        yield done
-                    group, rows = (component, bi, bj), {}
-                rows[entry] = (other, line)
-        done = close(group, rows) if len(rows) > 1 else None
-        if done is not None:
-            yield done
-        give_back()
-
-    return run
-
-
-def texts_of(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``wanted`` (doc, copy, n, w) with each line's text: (w, line). Only documents with a wanted line are split."""
-    by_doc = wanted.groupBy("doc", "copy").agg(F.collect_list(F.struct("n", "w")).alias("ws"))
+def rows_for(threshold: float, bins: int = BINS, recall: float = 0.99) -> int:
+    """The tallest bands of which a pair at the threshold still shares one."""
+    return max((r for r in range(1, bins) if bins % r == 0 and at_least(1, bins // r, threshold**r) >= recall), default=1)
+
+
+def least_equal(threshold: float, bins: int = BINS, loss: float = 0.002) -> int:
+    """Bins that a pair must share: at the threshold, fewer are equal with a probability of ``loss`` at most."""
+    return max(m for m in range(bins + 1) if m == 0 or 1 - at_least(m, bins, threshold) <= loss)
+
+
+def wide(line: Column) -> Column:
+    return F.encode(line, "UTF-32")
+
+
+def shingle_hash(wide_line: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(F.substring(wide_line, at * 4 + 1, F.lit(size * 4)))
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, copy, n, line, entry) for every non-blank line. ``copy`` tells documents with one id apart."""
+    text = F.col(text_col)
+    whole = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)).alias("lines"))
+    rows = whole.select("doc", "copy", F.posexplode("lines").alias("n", "line"))
+    return rows.where(F.col("line") != "").withColumn("entry", F.xxhash64("line"))
+
+
+def signatures(lines: DataFrame, shingle: int = SHINGLE, bins: int = BINS, density: int = DENSITY) -> DataFrame:
+    """(entry, b0 ... b{bins-1}): the least hash of each bin, null where it is empty."""
+    count = F.char_length("line") - shingle + 1
+    level = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.round(F.log2(count / (density * bins))))).cast("long")  # by powers of two, so that similar lines have one limit
+    whole = lines.where(count >= 1).select("entry", wide(F.col("line")).alias("w"), level.alias("level"), count.alias("count"))  # once a line, below the explode
+    rows = whole.select("entry", "w", "level", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
+    hashed = rows.select("entry", "level", shingle_hash(F.col("w"), F.col("at"), shingle).alias("h"))
+    # The low 32 bits compete, the high 31 choose the bin; of n shingles about density x bins pass.
+    near = hashed.select("entry", F.col("h").bitwiseAND(0xFFFFFFFF).alias("value"), (F.shiftrightunsigned("h", 33) % bins).cast("int").alias("place"), "level")
+    near = near.where(F.col("value") * F.col("level") < (1 << 32))
+    return near.groupBy("entry").agg(*[F.min(F.when(F.col("place") == b, F.col("value"))).alias(f"b{b}") for b in range(bins)])
+
+
+def band_keys(signature: DataFrame, rows: int, bins: int = BINS) -> DataFrame:
+    """(entry, keys, s0, s1 ...): one key for each band, and the low 8 bits of every bin, seven to a number. An empty bin takes the value of the next full one, marked with the distance."""
+    full = [F.coalesce(F.col(f"b{b}"), *[F.col(f"b{(b + d) % bins}") + (d << 33) for d in range(1, bins)]) for b in range(bins)]
+    keys = [F.xxhash64(F.lit(k), *full[k * rows : (k + 1) * rows]) for k in range(bins // rows)]
+    lanes = [F.shiftleft(f.bitwiseAND(0xFF), 8 * (b % LANES)) for b, f in enumerate(full)]
+    sigs = [reduce(lambda x, y: x.bitwiseOR(y), lanes[b : b + LANES]).alias(f"s{b // LANES}") for b in range(0, bins, LANES)]
+    return signature.select("entry", F.array(*keys).alias("keys"), *sigs)
+
+
+def equal_bins(x: str, y: str, bins: int = BINS) -> Column:
+    """How many bins two signatures (columns x0, x1 ... and y0, y1 ...) share: lanes whose difference is zero."""
+    out = F.lit(0)
+    for k in range(-(-bins // LANES)):
+        apart = F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))
+        marks = F.bitwise_not((apart.bitwiseAND(F.lit(LOW)) + F.lit(LOW)).bitwiseOR(apart)).bitwiseAND(F.lit(HIGH))
+        out = out + F.bit_count(marks)
+    return out - (-bins % LANES)  # lanes without a bin are always equal
+
+
+def shingle_set(line: Column, shingle: int) -> Column:
+    """Hashes of the distinct shingles. The wide form is bound by the outer lambda, so it is made once a line."""
+    last = (F.char_length(line) - shingle) * 4 + 1
+    return F.array_distinct(F.element_at(F.transform(F.array(wide(line)), lambda w: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(F.substring(w, at, F.lit(shingle * 4))))), 1))
+
+
+def _sigs(keyed: DataFrame, entry: str, prefix: str) -> DataFrame:
+    return keyed.select(F.col("entry").alias(entry), *[F.col(c).alias(prefix + c[1:]) for c in keyed.columns if c[0] == "s"])
+
+
+def near_ties(keyed: DataFrame, least: int, few: int = FEW) -> DataFrame:
+    """Ties (a, b, first) of entries that share a bucket, of all pairs or with hubs, that share at least so many bins."""
+    keys = keyed.select("entry", F.explode("keys").alias("key"))
+    least_of = [F.min(F.col("entry").bitwiseXOR(F.lit(o).cast("long"))).bitwiseXOR(F.lit(o).cast("long")) for o in ORDERS]
+    bucket = keys.groupBy("key").agg(F.count("*").alias("c"), F.array_distinct(F.array(*least_of)).alias("hubs")).where(F.col("c") > 1)
+    rows = keys.join(bucket.select("key", "c", F.when(F.col("c") > few, F.col("hubs")).alias("hubs")).hint("shuffle_hash"), "key")
+    rows = persist(rows, "line-buckets")
+    lists = rows.where(F.col("c") <= few).groupBy("key").agg(F.array_sort(F.collect_list("entry")).alias("es")).select("es", F.explode(F.sequence(F.lit(0), F.size("es") - 2)).alias("i"))
+    small = lists.select(F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("a"), F.get("es", F.col("i")).alias("b"), (F.col("i") == 0).alias("first"))
+    large = rows.where(F.col("c") > few).select(F.col("entry").alias("a"), F.posexplode("hubs").alias("i", "b")).where(F.col("a") != F.col("b"))
+    ties = small.unionAll(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("i") == 0).alias("first")))
+    ties = ties.groupBy("a", "b").agg(F.max("first").alias("first"))
+    both = ties.join(_sigs(keyed, "a", "x"), "a").join(_sigs(keyed, "b", "y"), "b")
+    return persist(both.where(equal_bins("x", "y") >= least).select("a", "b", "first"), "line-near")
+
+
+def texts_of(ends: DataFrame, docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(entry, line) of the entries ``ends`` (e). A line's text is fetched from its first place; only documents that hold one are split."""
+    wanted = places.join(ends, F.col("entry") == F.col("e")).groupBy("doc", "copy").agg(F.collect_list(F.struct("n", "entry")).alias("ws"))
     whole = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("c"), F.col(text_col).alias("t"))
-    rows = whole.join(by_doc.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")))
-    lines = F.element_at(F.transform(F.array(F.split("t", "\n", -1)), lambda p: F.transform("ws", lambda x: F.struct(x["w"].alias("w"), F.trim(F.element_at(p, x["n"] + 1)).alias("line")))), 1)
-    return rows.select(F.explode(lines).alias("x")).select("x.w", "x.line")
+    rows = whole.join(wanted.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")))
+    lines = F.element_at(F.transform(F.array(F.split("t", "\n", -1)), lambda p: F.transform("ws", lambda x: F.struct(x["entry"].alias("entry"), F.trim(F.element_at(p, x["n"] + 1)).alias("line")))), 1)
+    return persist(rows.select(F.explode(lines).alias("x")).select("x.entry", "x.line").dropDuplicates(["entry"]), "line-texts")
+
+
+def verified(ties: DataFrame, texts: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The ties (a, b) whose lines have at least the similarity ``threshold``.
+
+    Ties carry a's line to where b's shingles, made once a hub, are hashed; a hub of very many ties is split by the adaptive join.
+    """
+    hubs = texts.select(F.col("entry").alias("b"), F.col("line").alias("lb")).join(ties.select("b").distinct(), "b").repartition("b").select("b", shingle_set(F.col("lb"), shingle).alias("sb"))
+    both = ties.join(texts.select(F.col("entry").alias("a"), F.col("line").alias("la")), "a").join(hubs.hint("shuffle_hash"), "b")
+    both = both.select(*ties.columns, shingle_set(F.col("la"), shingle).alias("sa"), "sb")
+    both = both.select(*ties.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.where(F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9).select(*ties.columns)
+
+
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (node, component) once ``links`` (oa, ob) join components; an entry in no class is its own component."""
+    joined = connected_components(links.select(F.col("oa").alias("a"), F.col("ob").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
+    moved = classes.join(joined, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+    alone = joined.join(classes.select("component").distinct(), F.col("was") == F.col("component"), "left_anti")
+    return persist(moved.unionAll(alone.select("was", "now")), "line-classes")
 
 
-def line_classes(sketch: DataFrame, places: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, block: int = BLOCK) -> DataFrame:
+def line_classes(lines: DataFrame, places: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the entries that are like another."""
-    member = persist(connected_components(candidates(sketch)), "line-members")
-    size = member.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = member.join(size, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = placed.join(places, F.col("node") == F.col("entry")).select("doc", "copy", "n", F.struct("component", "blocks", "own", "entry").alias("w"))
-    rows = texts_of(held, docs, id_col, text_col).select("w.*", "line")
-    rows = rows.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "entry", "line")
-    rows = rows.select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "entry", (F.col("own") > F.col("other")).alias("second"), "line")
-    dealt = rows.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
-    return persist(connected_components(persist(dealt.mapInArrow(_compare(shingle, threshold), "a long, b long"), "line-links")), "line-classes")
+    keyed = persist(band_keys(signatures(lines, shingle), rows_for(threshold)), "line-keys")
+    near = near_ties(keyed, least_equal(threshold))
+    ends = near.select(F.col("a").alias("e")).unionAll(near.select("b")).distinct()
+    texts = texts_of(ends, docs, places, id_col, text_col)
+    classes = persist(connected_components(verified(near.where("first").select("a", "b"), texts, shingle, threshold)), "line-classes")
+    now = lambda e: classes.select(F.col("node").alias(e), F.col("component").alias(f"now_{e}"))
+    rest = near.where(~F.col("first")).join(now("a"), "a", "left").join(now("b"), "b", "left").select("a", "b", F.coalesce("now_a", "a").alias("oa"), F.coalesce("now_b", "b").alias("ob"))
+    return merged(classes, verified(rest.where(F.col("oa") != F.col("ob")), texts, shingle, threshold))
 
 
 def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """All non-blank lines (doc, copy, n, size, entry, keys), and, for each entry with more than one line in its class, the place (kd, kc, kn) that keeps its line.
+    """All non-blank lines (doc, copy, n, entry, size), and, for each entry with more than one line in its class, the place (kd, kc, kn) that keeps its line.
 
     Places are compared as (doc, n, copy), nulls first.
     """
-    light = persist(sketches(docs, id_col, text_col, shingle, threshold), "line-sketch")
+    lines = lines_of(docs, id_col, text_col)
+    light = persist(lines.select("doc", "copy", "n", "entry", F.char_length("line").alias("size")), "line-light")
     place = F.struct("doc", "n", "copy")
     places = persist(light.groupBy("entry").agg(F.min(place).alias("p"), F.count("*").alias("times")).select("entry", "p.doc", "p.n", "p.copy", "times"), "line-places")
-    classes = line_classes(light, places, docs, id_col, text_col, shingle, threshold)
+    classes = line_classes(lines, places, docs, id_col, text_col, shingle, threshold)
     member = classes.select(F.col("node").alias("entry"), "component").join(places, "entry")
     first = member.groupBy("component").agg(F.min(place).alias("p"))
     near = member.join(first, "component").select("entry", F.col("p.doc").alias("kd"), F.col("p.copy").alias("kc"), F.col("p.n").alias("kn"))

@@ -6,8 +6,8 @@ order 0 every byte costs 8 bits (T: bytes seen in the context, D: distinct ones,
 method C, without exclusion). Statistics are frozen after training. The language of the shortest code wins; the score is
 its posterior under equal priors.
 
-Training is bounded: at most ``PER_LANGUAGE`` texts of a language, ``TRAIN_ROWS`` in all, of at most ``TRAIN_CHARS``
-characters each, drawn by a hash of doc_id. Prediction reads whole texts and nothing but the text.
+Training is bounded: at most ``PER_LANGUAGE`` texts of a language, ``TRAIN_ROWS`` in all, drawn by a hash of doc_id and text;
+of a longer one, ``TRAIN_CHARS`` characters from its middle are learned. Prediction reads whole texts and nothing but the text.
 
 Defined cases: a text that is null or has no letter, or a model without languages, gives ``und`` with score 0; ties go to the
 first language in alphabetical order; rows without an id are never held out; repeated rows repeat; an empty table gives no row.
@@ -167,10 +167,11 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int
     if not counts:
         return {}
     each = max(1, min(per_language, rows // len(counts)))
-    where = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    where = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
     limit = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, max(1, min(1 << 20, int((1 << 20) * (1.5 * each + 16) / n))))])
-    drawn = labelled.where((where < F.element_at(limit, F.col("lang"))) & (F.length("text") <= chars)).select("lang", where.alias("w"), "doc_id", "text").toPandas()
-    drawn = drawn.sort_values(["w", "doc_id"]).groupby("lang").head(each)
+    middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - chars) / 2).cast("int") + 1), F.lit(chars))
+    drawn = labelled.where(where < F.element_at(limit, F.col("lang"))).select("lang", where.alias("w"), "doc_id", middle.alias("text")).toPandas()
+    drawn = drawn.sort_values(["w", "doc_id", "text"]).groupby("lang").head(each)
     return {lang: part["text"].tolist() for lang, part in drawn.groupby("lang")}
 
 

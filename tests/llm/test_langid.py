@@ -75,3 +75,9 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = P.predict(docs.where(P.held_out()), P.train(P.training_sample(docs))).select("lang", "lang_pred").collect()
     assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.98
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(i, ("ab " if i % 2 else "zq ") * 20_000, "aa" if i % 2 else "zz") for i in range(12)]
+    sample = P.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(sample) == {"aa", "zz"} and all(len(t) == P.TRAIN_CHARS for ts in sample.values() for t in ts)

@@ -10,6 +10,7 @@ no row; other columns are ignored. Spans are code points, end exclusive.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import scratch, table
 
-SPANS = "array<struct<start:int,kind_no:int,kind:string,end:int,rule:string>>"
+SPANS = "array<struct<start:int,end:int,kind:string,rule:string>>"
+FOUND = "array<struct<start:int,kind_no:int,kind:string,end:int,rule:string>>"
 LEDGER = f"blob string, rules array<string>, spans {SPANS}"
 
 
@@ -53,7 +55,7 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-def rule_spans(text: Column, rule: Rule, number: int) -> Column:
+def rule_spans(text: Column, rule: Rule) -> Column:
     """Spans of a rule. The pieces between matches and the matches themselves, measured in turn, give the positions."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
@@ -65,27 +67,26 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     def step(acc, x):
         at = acc["at"] + x["gap"]
         end = at + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(at.alias("start"), F.lit(number).alias("kind_no"), F.lit(rule.kind).alias("kind"), end.alias("end"), F.lit(rule.key).alias("rule"))
+        span = F.struct(at.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))
         good = x["size"].isNotNull() & (x["value"] >= rule.least)
         return F.struct(end.alias("at"), F.when(good, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
     return F.when(text.rlike(rule.pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(empty)
 
 
-def scan(blobs: DataFrame, rules: tuple[Rule, ...], numbers: dict[str, int]) -> DataFrame:
+def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Ledger rows of blobs (blob, text, todo), where ``todo`` lists the rules that the ledger lacks."""
     empty = F.array().cast(SPANS)
-    found = [F.when(F.array_contains("todo", r.key), rule_spans(F.col("text"), r, numbers[r.kind])).otherwise(empty) for r in rules]
+    found = [F.when(F.array_contains("todo", r.key), rule_spans(F.col("text"), r)).otherwise(empty) for r in rules]
     return blobs.select("blob", F.col("todo").alias("rules"), F.concat(*found).alias("spans"))
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None, folder: str, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Scan the (blob, rule version) pairs of ``docs`` that ``ledger`` lacks, append them under ``folder``, return the whole ledger.
+    """Scan the (blob, rule version) pairs of ``docs`` that ``ledger`` lacks, store them under ``folder``, return the whole ledger: the given rows and the new ones.
 
     Which row of each unseen blob is read is settled from (digest, row key) alone; the texts then pass one exchange in
     which every row has its own key, so thousands of copies of one blob don't meet.
     """
-    numbers = {r.kind: k for k, r in enumerate(rules)}
     keys = F.array(*[F.lit(r.key) for r in rules])
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
@@ -97,17 +98,25 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None, folder: str, id_col
         unseen = unseen.join(seen, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).drop("seen").where(F.size("todo") > 0)
     match = unseen.withColumnsRenamed({"blob": "b", "id": "i"}).hint("shuffle_hash")
     texts = rows.join(match, (F.col("blob") == F.col("b")) & F.col("id").eqNullSafe(F.col("i"))).select("blob", "text", "todo")
-    scan(texts, rules, numbers).write.mode("append").parquet(folder)
-    return docs.sparkSession.read.schema(LEDGER).parquet(folder)
+    spark, path = docs.sparkSession, f"{folder}/scan-{uuid.uuid4().hex}"
+    scan(texts, rules).write.parquet(path)
+    new = spark.read.schema(LEDGER).parquet(path)
+    return new if ledger is None else ledger.select("blob", "rules", "spans").unionByName(new)
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger of all scans stored under ``folder``."""
+    return spark.read.schema(LEDGER).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def findings(docs: DataFrame, ledger: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per row of ``docs``: its blob and the array of spans of the given rule versions."""
-    keys = [r.key for r in rules]
-    hits = ledger.select("blob", F.filter("spans", lambda s: s["rule"].isin(keys)).alias("spans")).where(F.size("spans") > 0)
+    """One row per row of ``docs``: its blob and the array of spans of the given rule versions, whose kinds are numbered as given."""
+    number = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.key), F.lit(k))])
+    numbered = lambda s: F.struct(s["start"].alias("start"), F.element_at(number, s["rule"]).alias("kind_no"), s["kind"].alias("kind"), s["end"].alias("end"), s["rule"].alias("rule"))
+    hits = ledger.select("blob", F.transform(F.filter("spans", lambda s: s["rule"].isin([r.key for r in rules])), numbered).alias("spans")).where(F.size("spans") > 0)
     hits = hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     rows = docs.select(F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
-    return rows.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPANS)))
+    return rows.join(hits, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(FOUND)))
 
 
 def joined(spans: Column) -> Column:

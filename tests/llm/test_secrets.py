@@ -41,3 +41,13 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert sorted(len(r.rules) for r in ledger.collect()) == [1, 1, 7, 7, 7]  # the changed rule alone is run again
     got = {r.doc_id: [s.kind for s in r.spans] for r in X.findings(new, ledger, "doc_id", "text", newer).collect()}
     assert got == {1: ["assign"], 9: ["assign"], 3: ["assign"]}
+
+
+def test_rules_in_another_order_and_a_ledger_without_its_folder(spark, tmp_path):
+    docs = spark.createDataFrame([(1, TEXTS[1]), (2, TEXTS[2])], "doc_id long, text string")
+    ledger = X.update_ledger(docs, None, f"file://{tmp_path}/a", "doc_id", "text", X.RULES[::-1])
+    both = X.scan_documents(docs, ledger)  # scans nothing; numbers follow the order asked for
+    assert X.read_ledger(spark, f"file://{tmp_path}/a").count() == 2
+    plain = X.scan_documents(docs)
+    assert sorted(map(str, both.collect())) == sorted(map(str, plain.collect()))
+    assert [s.kind_no for r in plain.collect() for s in r.spans if s.kind == "access"] == [1] * 1

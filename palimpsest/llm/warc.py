@@ -181,10 +181,14 @@ def _reader(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
-            for uri in batch.column("bundle").to_pylist():
+            frames: dict[str, list[int]] = {}
+            for uri, frame in zip(batch.column("bundle").to_pylist(), batch.column("frame").to_pylist(), strict=True):
+                frames.setdefault(uri, []).append(frame)
+            for uri, numbers in frames.items():
                 fs, path = open_store(uri)
                 with fs.open_input_file(path) as f:
-                    for start, packed, raw in read_seek_table(f):
+                    places = read_seek_table(f)
+                    for start, packed, raw in (places[k] for k in sorted(numbers)):
                         f.seek(start)
                         data = unzip.decompress(f.read(packed), max_output_size=raw)
                         rows = [_as_row(h, b, with_payload) for _, _, h, b in parse_records(data)]
@@ -197,11 +201,12 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     """Write one record per row into bundles under ``folder``; return the index, itself stored there.
 
     Payloads of at least ``min_revisit_bytes`` that occur more than once are stored once, by the row with the largest id.
-    The group of a payload is found from (digest, id) alone, with partial aggregation, so copies never meet in one task.
+    Equality is that of SHA-256, as SHA-1 collisions are public. The group of a payload is found from (digest, id) alone,
+    with partial aggregation; the join that gives each copy its group may split a digest that very many rows share.
     """
     payload = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.sha1("payload"))
-    light = pages.select(F.col(id_col).cast("long").alias("record_id"), F.sha1(payload).alias("key"), F.length(payload).alias("n"))
+    rows = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("key", F.sha2("payload", 256))
+    light = pages.select(F.col(id_col).cast("long").alias("record_id"), F.sha2(payload, 256).alias("key"), F.length(payload).alias("n"))
     groups = light.groupBy("key").agg(F.max("record_id").alias("response"), F.count("*").alias("rows"), F.max("n").alias("n")).where((F.col("rows") > 1) & (F.col("n") >= min_revisit_bytes)).select("key", "response")
     index = rows.join(groups, "key", "left").select("record_id", "url", "payload", "response").mapInArrow(_writer(folder, frame_bytes, bundle_bytes, level), INDEX)
     index.write.parquet(f"{folder}/index")
@@ -209,8 +214,10 @@ def write_bundles(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
 
 
 def read_bundles(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Every record of the indexed bundles, frame by frame. Digests and sizes of responses are computed from the bytes read."""
-    return index.select("bundle").distinct().mapInArrow(_reader(with_payload), RECORD)
+    """Every record of the indexed frames. Frames are dealt out evenly; digests and sizes of responses are computed from the bytes read."""
+    frames = index.select("bundle", "frame").distinct()
+    tasks = max(1, min(frames.count(), 4 * index.sparkSession.sparkContext.defaultParallelism))
+    return frames.repartition(tasks, "bundle", "frame").mapInArrow(_reader(with_payload), RECORD)
 
 
 def lookup(bundle: str, frame_start: int, offset: int) -> tuple[dict, bytes]:

@@ -31,3 +31,11 @@ def test_small_payloads_and_empty_table(spark):
     out = W.read_bundles(W.write_bundles(df, scratch(spark, "w"), min_revisit_bytes=3)).collect()
     assert {r.record_type for r in out} == {"response"}
     assert W.read_bundles(W.write_bundles(df.limit(0), scratch(spark, "w"))).count() == 0
+
+
+def test_read_back_is_dealt_out_by_frames(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", str(i) * 300) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    index = W.write_bundles(pages, f"file://{tmp_path}/w", frame_bytes=2000)
+    assert index.select("bundle").distinct().count() == 1
+    out = W.read_bundles(index, with_payload=True)
+    assert out.rdd.getNumPartitions() > 1 and {(r.record_id, bytes(r.payload).decode()) for r in out.collect()} == {(i, str(i) * 300) for i in range(60)}

@@ -27,18 +27,21 @@ RAW = {t: re.compile(rf"</{t}\s*[^>]*>", re.I) for t in ("script", "style", "tex
 # Elements that start a new block.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul caption".split())
 # Elements whose whole content is no main text.
-SKIP = frozenset("script style head title nav footer header aside form noscript template iframe svg button select textarea menu object math canvas audio video dialog xmp noembed noframes".split())
+SKIP = frozenset("script style head title nav footer header aside form noscript template iframe svg button select textarea menu object canvas audio video dialog xmp noembed noframes".split())
 # Words in class, id or role of a container that mark boilerplate.
-MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer form gdpr header legal masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
-CONTAINER = frozenset("div section ul ol table dl p span center details figure li".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer form gdpr header legal masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related respond share sharing sidebar signup skip sponsor sponsored subscribe toolbar topbar widget".split())
+CONTAINER = frozenset("article div section ul ol table dl p span center details figure li".split())
+SOCIAL = frozenset("media links link share sharing icons icon buttons bar list menu follow feed".split())  # words that make "social" boilerplate
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
 
 
 def is_marked(attrs: str) -> bool:
     for name, value in ATTR.findall(attrs):
-        if MARKS.intersection(re.split(r"[\s_-]+", value.strip("\"'").lower())):
-            return True
+        for word in value.strip("\"'").lower().split():
+            parts = re.split(r"[_-]+", word)
+            if MARKS.intersection(parts) or parts[0] == "social" and (len(parts) == 1 or SOCIAL.intersection(parts[1:])):
+                return True
     return False
 
 

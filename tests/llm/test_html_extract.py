@@ -29,3 +29,8 @@ def test_operator(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in out.collect()) == [(1, "x", 1), (2, "", 0), (2, "", 0)]
     assert H.extract(df.limit(0)).count() == 0
     assert H.main_text("<p>" + "long text " * 200_000).count("long") == 200_000
+
+
+def test_comments_in_articles_and_names_that_only_look_like_boilerplate():
+    page = '<article><p>Body text</p><article class="comment"><p>reader comment</p></article><div class="social-science"><p>About society</p></div><div class="social-links">share</div><p>Let <math>x</math> be</p></article>'
+    assert H.main_text(page) == "Body text\n\nAbout society\n\nLet x be"

@@ -2,7 +2,7 @@
 
 Texts become sets of five-word shingles; a pair is a link if the Jaccard similarity of its sets is at least 0.8.
 
-1. Texts with equal sets form one entry, held by their least doc_id and weighted by their number.
+1. Texts with equal sets form one entry, numbered by a hash of the set, held by their first row and weighted by their number.
 2. Bands of MinHash values gather entries that may be linked; each entry is tied to the least entry of its bucket, and
    connected components of these ties hold every candidate pair.
 3. Inside a component, all pairs are compared hash by hash: after each step, the posterior of the similarity (Beta, uniform
@@ -12,8 +12,9 @@ A component of more than ``BLOCK`` entries is dealt out as pairs of blocks, so n
 never leave a task: it returns, for each entry, its number of links and the least entry it is connected to.
 
 Words are runs of letters, digits and underscores in lower case. Defined cases: a text of one to four words is one shingle;
-a null text or one without words has no link and is a class of its own; rows without a doc_id are left out; rows that repeat
-an id count once, with the least of their sets; an empty table gives no row; other columns are ignored.
+a null text or one without words has no link and is a class of its own; rows are told apart by (doc_id, hash of the text), so
+repeated ids may hold different texts; a row without a doc_id is joined like any other, and its class has the least id there
+is, or none; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-7
 BANDS, ROWS, STEP = 24, 6, 16
 BLOCK = 512
 TOKEN = re.compile(r"\w+")
-SKETCH = "doc_id long, set_id binary, bands array<long>"
+SKETCH = "doc_id long, copy long, set_id binary, bands array<long>"
 RESULT = "rep long, root long, links long"
 
 
@@ -84,7 +85,7 @@ def minhashes(items: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     family = hash_family(bands * rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("set_id", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -99,11 +100,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, ba
                     ids.append(xxhash.xxh3_128_digest(items.tobytes()))
                     hashes = minhashes(items, family).reshape(bands, rows)
                     keys.append(np.array([xxhash.xxh3_64_intdigest(hashes[b].tobytes(), b) for b in range(bands)], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
         give_back()
 
-    usable = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    return usable.mapInArrow(run, SKETCH)
+    return keyed(docs, id_col, text_col).mapInArrow(run, SKETCH)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
 
 
 def least_matches(threshold: float, tolerance: float, counts: list[int]) -> list[int]:
@@ -236,31 +240,42 @@ def _grouped(words: int, threshold: float, tolerance: float, hashes: int):
     return run
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id it is connected to), n_links (documents at ``threshold`` or more)."""
+def join_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, copy (a hash of the text), class_id (the least doc_id it is connected to), n_links
+    (rows at ``threshold`` or more), and the first place of the class, (first_id, first_copy)."""
     sketch = persist(sketches(docs, id_col, text_col, words), "ngram-sketch")
-    one = sketch.groupBy("doc_id").agg(F.min("set_id").alias("set_id"))
-    entries = persist(one.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "ngram-entries")
-    held = entries.select(F.col("set_id").alias("s"), "rep").hint("shuffle_hash")
-    keys = sketch.join(held, (F.col("doc_id") == F.col("rep")) & (F.col("set_id") == F.col("s"))).select("rep", F.explode("bands").alias("key"))
+    place = F.struct("doc_id", "copy")
+    groups = sketch.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min(place).alias("p"), F.min("doc_id").alias("least"), F.count("*").alias("weight"))
+    entries = persist(groups.select("set_id", F.xxhash64("set_id").alias("rep"), F.col("p.doc_id").alias("doc"), F.col("p.copy").alias("c"), "least", "weight"), "ngram-entries")
+    at_place = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("copy") == F.col("c"))
+    held = entries.select(F.col("set_id").alias("s"), "rep", "doc", "c").hint("shuffle_hash")
+    keys = sketch.join(held, at_place & (F.col("set_id") == F.col("s"))).select("rep", F.explode("bands").alias("key"))
     bucket = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where(F.col("lo") != F.col("hi")).select("key", "lo")
     ties = keys.join(bucket, "key").where(F.col("rep") != F.col("lo")).select(F.col("rep").alias("a"), F.col("lo").alias("b"))
     member = persist(connected_components(ties), "ngram-members")
     size = member.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = member.join(size, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.join(entries.select("rep", "set_id", "weight"), F.col("node") == F.col("rep")).select("component", "blocks", "own", "rep", "set_id", "weight")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    rows = texts.join(placed.hint("shuffle_hash"), F.col("doc_id") == F.col("rep"))
+    placed = placed.join(entries, F.col("node") == F.col("rep")).select("component", "blocks", "own", "rep", "set_id", "weight", "doc", "c")
+    rows = keyed(docs, id_col, text_col).join(placed.hint("shuffle_hash"), at_place)
     rows = rows.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", "rep", "weight", "set_id", "text")
     rows = rows.select("component", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "rep", "weight", (F.col("own") > F.col("other")).alias("second"), "set_id", "text")
     dealt = rows.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
     found = persist(dealt.mapInArrow(_grouped(words, threshold, tolerance, 144), RESULT), "ngram-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    by_rep = entries.join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    by_set = by_rep.select(F.col("set_id").alias("s"), F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = one.join(by_set, F.col("set_id") == F.col("s"), "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    by_rep = entries.join(links, "rep", "left").join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    by_rep = persist(by_rep.select("set_id", "component", "doc", "c", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "ngram-classes")
+    first = by_rep.groupBy("component").agg(F.min(F.struct("doc", "c")).alias("f"), F.min("least").alias("class_id"))
+    by_set = by_rep.join(first, "component").select(F.col("set_id").alias("s"), "class_id", "n_links", F.col("f.doc").alias("first_id"), F.col("f.c").alias("first_copy"))
+    out = sketch.select("doc_id", "copy", "set_id").join(by_set, F.col("set_id") == F.col("s"), "left")
+    alone = F.col("s").isNull()
+    own = lambda c, other: F.when(alone, F.col(other)).otherwise(F.col(c)).alias(c)
+    return out.select("doc_id", "copy", own("class_id", "doc_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own("first_id", "doc_id"), own("first_copy", "copy"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links."""
+    return join_rows(docs, id_col, text_col, words, threshold, tolerance, block).select("doc_id", "class_id", "n_links")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,22 @@ def test_against_brute_force(spark, docs, prose, block):
 def test_empty_repeats_and_null_ids(spark, docs, prose):
     assert N.join(docs([])).count() == 0
     out = N.join(docs([(1, prose(1, 50)), (1, prose(1, 50)), (None, prose(1, 50)), (2, prose(1, 50))])).collect()
-    assert sorted((x.doc_id, x.class_id, x.n_links) for x in out) == [(1, 1, 1), (2, 1, 1)]
+    assert sorted(((x.doc_id, x.class_id, x.n_links) for x in out), key=str) == [(1, 1, 3), (1, 1, 3), (2, 1, 3), (None, 1, 3)]
+
+
+def test_repeated_ids_with_different_texts(spark, docs, prose):
+    one, two = prose(1, 50), prose(2, 50)
+    rows = [(1, one), (2, two), (2, one), (3, one), (4, two), (None, "some words that nobody else has"), (None, None)]
+    out = sorted(((x.doc_id, x.class_id, x.n_links) for x in N.join(docs(rows)).collect()), key=str)
+    assert out == sorted([(1, 1, 2), (2, 2, 1), (2, 1, 2), (3, 1, 2), (4, 2, 1), (None, None, 0), (None, None, 0)], key=str)
+
+
+def test_pipeline_stage_keeps_unique_texts_that_share_an_id(spark, docs, prose):
+    import corpus_pipeline
+
+    one, two = prose(1, 50), prose(2, 50)
+    kept = corpus_pipeline.join_ngrams(spark, docs([(1, one), (2, two), (2, one), (3, one), (None, prose(3, 50)), (None, None)]), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, one), (2, two), (None, prose(3, 50)), (None, None)], key=str)
 
 
 def test_pruning_keeps_pairs_over_the_threshold():

@@ -35,9 +35,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least doc_id of each class of near duplicates. Documents without an id are kept."""
-    gone = ngram_join.join(docs).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """Keeps the first document of each class of near duplicates, by (doc_id, hash of the text), ids that are null first. Rows
+    that repeat both are one document here."""
+    away = ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("copy") == F.col("first_copy")))
+    gone = ngram_join.join_rows(docs).where(away).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_copy"))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti").select(*COLUMNS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,9 +42,15 @@ def token_kind(first_character: Column) -> Column:
     )
 
 
+LENIENT = r"'|/[/*]|\]\s*,\s*\["  # what the quick count may take though it is no JSON: other quotes, comments, text beyond the value
+
+
 def is_one_value(json: Column) -> Column:
-    """Whether the text is exactly one well-formed JSON value."""
-    return F.coalesce(F.json_array_length(F.concat(F.lit("["), json, F.lit("]"))) == 1, F.lit(False))
+    """Whether the text is exactly one well-formed JSON value. Texts that the quick count might wrongly take are parsed strictly,
+    as a list's element and as a member, so that text that closes one of the two is found out by the other."""
+    quick = F.coalesce(F.json_array_length(F.concat(F.lit("["), json, F.lit("]"))) == 1, F.lit(False))
+    strict = F.try_parse_json(F.concat(F.lit("["), json, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), json, F.lit("}"))).isNotNull()
+    return quick & (~json.rlike(LENIENT) | strict)
 
 
 def path_of(name: str) -> str:

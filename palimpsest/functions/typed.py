@@ -100,6 +100,9 @@ class Typed:
 
     def construct(self, value: Column) -> Column:
         """The value; an error where the rule is broken."""
+        return self._call("construct", self._construct, value)
+
+    def _construct(self, value: Column) -> Column:
         shown = F.coalesce(value.cast("string"), F.lit("null"))
         bad = F.raise_error(F.concat(F.lit(f"The value is not valid for {self.name}: "), shown)).cast(self.base.spark)
         return F.when(self.is_valid(value), value.cast(self.base.spark)).otherwise(bad)
@@ -140,16 +143,32 @@ class Typed:
 
     def compare(self, left: Column, right: Column) -> Column:
         """-1, 0 or 1; a value is greater than NULL. Strings compare in the Unicode collation."""
+        if "compare" in self.overrides:
+            return self.overrides["compare"](left, right)
         if not self.base.comparable:
             raise TypeError(f"{self.name} has no order")
         a, b = (F.collate(left, "UNICODE"), F.collate(right, "UNICODE")) if self.kind == "string" else (left, right)
         return F.when(left.isNull() & right.isNull(), 0).when(right.isNull(), 1).when(left.isNull(), -1).when(a < b, -1).when(a > b, 1).otherwise(0)
 
     def equals(self, left: Column, right: Column) -> Column:
-        return left.eqNullSafe(right)
+        return self._call("equals", lambda a, b: a.eqNullSafe(b), left, right)
+
+    def less(self, left: Column, right: Column) -> Column:
+        return self.compare(left, right) < 0
+
+    def less_or_equal(self, left: Column, right: Column) -> Column:
+        return self.compare(left, right) <= 0
+
+    def greater(self, left: Column, right: Column) -> Column:
+        return self.compare(left, right) > 0
+
+    def greater_or_equal(self, left: Column, right: Column) -> Column:
+        return self.compare(left, right) >= 0
 
     def to_string(self, column: Column, pattern: str | None = None) -> Column:
         """The text; with a pattern, printf's for numbers and date_format's for dates."""
+        if "to_string" in self.overrides:
+            return self.overrides["to_string"](column)
         if pattern is None:
             return F.coalesce(column.cast("string"), F.lit("")) if self.base.null_is_empty else column.cast("string")
         if not self.base.formattable:
@@ -182,7 +201,7 @@ class Typed:
 def typed(name: str, kind: str, rule: Callable[[Column], Column] | None = None, **overrides: Callable) -> Typed:
     if kind not in KINDS:
         raise ValueError(f"'{name}' has the unsupported underlying type '{kind}'")
-    unknown = set(overrides) - {"is_valid", "parse", "try_parse", "read_json", "write_json"}
+    unknown = set(overrides) - {"is_valid", "construct", "parse", "try_parse", "equals", "compare", "to_string", "read_json", "write_json"}
     if unknown:
         raise ValueError(f"'{name}' overrides unknown operations: {', '.join(sorted(unknown))}")
     return Typed(name, kind, rule, overrides)

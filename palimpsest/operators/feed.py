@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 HISTORY = 256
 CALL, READ, WRITE, CLEAR = "GrainCall", "StorageRead", "StorageWrite", "StorageClear"
-SYSTEM_PREFIX = "Orleans.Runtime."
 STORAGE = "struct<kind:string,entity_id:string,store:string,state_name:string,etag:string,state:string>"
 CALLED = "struct<target_id:string,method:string,interface:string>"
 
@@ -22,17 +21,17 @@ def activity_kind(operation: Column) -> Column:
     return F.when(operation == "read", READ).when(operation == "write", WRITE).when(operation == "clear", CLEAR).otherwise(CALL)
 
 
-def ingest(raw: DataFrame, operation: str = "operation", entity: str = "entity_id", interface: str | None = None, succeeded: str | None = None, suppressed: str | None = None) -> DataFrame:
-    """Events of an operation log. Storage operations count if they succeed, calls also if they fail; calls of the runtime itself,
-    and whatever happens inside an assertion, don't."""
+def ingest(raw: DataFrame, operation: str = "operation", entity: str = "entity_id", interface: str | None = None, system_prefix: str | None = None, succeeded: str | None = None, suppressed: str | None = None) -> DataFrame:
+    """Events of an operation log. Storage operations count if they succeed, calls also if they fail; calls of interfaces
+    under ``system_prefix``, and whatever happens inside an assertion, don't."""
     kind = activity_kind(F.col(operation))
     keep = F.lit(True)
     if suppressed:
         keep = keep & ~F.coalesce(F.col(suppressed), F.lit(False))
     if succeeded:
         keep = keep & ((kind == CALL) | F.coalesce(F.col(succeeded), F.lit(False)))
-    if interface:
-        keep = keep & ((kind != CALL) | ~F.coalesce(F.col(interface).startswith(SYSTEM_PREFIX), F.lit(False)))
+    if interface and system_prefix:
+        keep = keep & ((kind != CALL) | ~F.coalesce(F.col(interface).startswith(system_prefix), F.lit(False)))
     return raw.where(keep).withColumns({"kind": kind, "entity_id": F.col(entity).cast("string")})
 
 

@@ -269,7 +269,7 @@ class Plan:
     def nested_value(self, raw: Column, shape) -> tuple[Column, list[Column]]:
         item = shape.item if isinstance(shape, Listed | Mapped) else shape
         if item in self.inside:
-            full = self.schema(item)
+            full = T.StructType([T.StructField(m, self.flat_type(s)) for m, s in item.members().items()]) if item.kind == "object" else self.schema(item)
             plain = lambda r: J.decoded(r, full)
             value = F.transform(raw, plain) if isinstance(shape, Listed) else F.transform_values(raw, lambda _, r: plain(r)) if isinstance(shape, Mapped) else plain(raw)
             return value, []
@@ -431,10 +431,11 @@ class MigrationEngine:
         lead = [] if data.property_name in names.values() else [F.lit(data.discriminator).alias(data.property_name)]
         return F.when(value.isNotNull(), F.struct(*lead, *[self._tagged(value[m], s).alias(names[m]) for m, s in shape.members().items()]))
 
-    def rewritten(self, df: DataFrame, payload: str, target: Versioned) -> DataFrame:
-        """The rows whose payload isn't current, with the payload in its current form: what a store writes back."""
-        done = self.migrate(df, payload, target, value="__value")
-        return done.where(F.col("_migrated")).withColumn(payload, self.encode(F.col("__value"), target)).select(*df.columns)
+    def rewritten(self, df: DataFrame, payload: str, target: Versioned, on_error: str = "raise") -> DataFrame:
+        """The rows whose payload isn't current, with the payload in its current form: what a store writes back. Rows with an
+        error are no such rows where ``on_error`` is 'column'."""
+        done = self.migrate(df, payload, target, value="__value", on_error=on_error)
+        return done.where(F.col("_migrated") & F.col("_error").isNull()).withColumn(payload, self.encode(F.col("__value"), target)).select(*df.columns)
 
 
 def migration_counts(migrated: DataFrame, target: Versioned, *by: str) -> DataFrame:

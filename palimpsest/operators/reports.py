@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 NOTE_SECTIONS = ("BREAKING CHANGES:", "New Features:", "Bug Fixes:", "Performance:")  # fixed headings, in order
 NOTE_TYPES = {"feat": 1, "fix": 2, "perf": 3}
-SUBJECT = r"^(\w+)(?:\([^)]*\))?(!)?:\s*(.+)$"
-BREAKING = r"(?m)^BREAKING[- ]CHANGE:\s*(.+)"
-TRAILER = r"(?m)^(Co-authored-by|Signed-off-by|Reviewed-by|Acked-by|Tested-by|Reported-by|Helped-by|Cc|Change-Id):\s.*$"
+BREAKS = ("BREAKING CHANGE", "BREAKING-CHANGE")  # fixed footer names of the commit convention
+FOOTER_NAME = r"^[A-Za-z][A-Za-z-]*$"
 
 
 def version_conflicts(rows: DataFrame, name: str = "package", version: str = "version", where: str = "file") -> DataFrame:
@@ -74,21 +73,40 @@ def rank_of(value: Column, order: list[str], prefix: bool = False) -> Column:
     return out.otherwise(len(order)) if out is not None else F.lit(0)
 
 
+def _footer(line: Column) -> Column:
+    """The name in front of a line's first colon, if a value follows it."""
+    at = F.instr(line, ": ")
+    return F.when(at > 0, F.substring(line, F.lit(1), at - 1))
+
+
+def _breaks(line: Column) -> Column:
+    return F.coalesce(_footer(line).isin(*BREAKS), F.lit(False))
+
+
 def classify_commits(commits: DataFrame, message: str = "message") -> DataFrame:
     """Commits that release notes list: section, description and cleaned body. A breaking change wins over its type; other types,
     other forms of subject, and messages with ``[skip notes]`` are left out."""
     whole = F.trim(F.col(message))
     subject = F.trim(F.substring_index(whole, "\n", 1))
     body = F.when(whole.contains("\n"), F.trim(F.expr(f"substring(trim({message}), locate('\\n', trim({message})) + 1)"))).otherwise("")
-    kind = F.lower(F.regexp_extract(subject, SUBJECT, 1))
-    breaking = (F.regexp_extract(subject, SUBJECT, 2) == "!") | body.rlike(BREAKING)
+    colon = F.instr(subject, ":")
+    lead = F.substring(subject, F.lit(1), F.greatest(colon - 1, F.lit(0)))
+    mark = lead.endswith("!")
+    lead = F.when(mark, F.substring(lead, F.lit(1), F.char_length(lead) - 1)).otherwise(lead)
+    scope = F.instr(lead, "(")
+    kind = F.lower(F.when(scope > 0, F.substring(lead, F.lit(1), scope - 1)).otherwise(lead))
+    description = F.trim(F.substring(subject, colon + 1, F.char_length(subject)))
+    formed = (colon > 0) & kind.rlike("^[a-z0-9_]+$") & ((scope == 0) | lead.endswith(")")) & (description != "")
+    breaking = mark | F.exists(F.split(body, "\r?\n"), _breaks)
     section = F.when(breaking, 0)
     for name, place in NOTE_TYPES.items():
         section = section.when(kind == name, place)
-    clean = F.regexp_replace(F.regexp_replace(body, r"(?m)^BREAKING[- ]CHANGE:\s*.*$", ""), TRAILER, "")
-    clean = F.regexp_replace(F.regexp_replace(clean, r"(\r?\n){3,}", "\n\n"), r"^\s+|\s+$", "")
-    kept = commits.where(~F.lower(whole).contains("[skip notes]") & subject.rlike(SUBJECT))
-    return kept.withColumns({"section": section, "description": F.trim(F.regexp_extract(subject, SUBJECT, 3)), "body": clean}).where(F.col("section").isNotNull())
+    paragraphs = F.split(F.regexp_replace(body, "\r\n", "\n"), r"\n\s*\n")
+    keep = lambda last: lambda line: ~_breaks(line) & ~(last & F.coalesce(_footer(line).rlike(FOOTER_NAME), F.lit(False)))
+    cleaned = F.transform(paragraphs, lambda p, i: F.btrim(F.array_join(F.filter(F.split(p, "\n"), keep(i == F.size(paragraphs) - 1)), "\n"), F.lit(" \t\n")))  # footers stand in the last paragraph
+    clean = F.array_join(F.filter(cleaned, lambda p: p != ""), "\n\n")
+    kept = commits.where(~F.lower(whole).contains("[skip notes]") & formed)
+    return kept.withColumns({"section": section, "description": description, "body": clean}).where(F.col("section").isNotNull())
 
 
 def release_notes(classified: DataFrame, order: str = "seq") -> DataFrame:
@@ -99,8 +117,16 @@ def release_notes(classified: DataFrame, order: str = "seq") -> DataFrame:
     return heads.unionByName(lines).orderBy("section", F.col("item").asc_nulls_first(), "n").select("line")
 
 
-def unrolled(projects: DataFrame) -> DataFrame:
-    """One row for each package of each project's frameworks, direct and transitive ones alike."""
-    frameworks = projects.select("scope", "project", F.explode("frameworks").alias("f"))
-    parts = [frameworks.select("scope", "project", F.col("f.framework").alias("framework"), F.lit(c).alias("collection"), F.explode(F.col(f"f.{c}")).alias("p")) for c in ("topLevelPackages", "transitivePackages")]
-    return parts[0].unionByName(parts[1]).select("scope", "project", "framework", "collection", F.col("p.id").alias("package"), F.col("p.requestedVersion").alias("requested"), F.col("p.resolvedVersion").alias("resolved"))
+def sorted_by(rows: DataFrame, *keys: tuple[Column, bool]) -> DataFrame:
+    """Rows by several keys, each with whether it falls; nulls come last."""
+    return rows.orderBy(*[c.desc_nulls_last() if falls else c.asc_nulls_last() for c, falls in keys])
+
+
+def unrolled(projects: DataFrame, targets: str = "targets", name: str = "target", collections: tuple[str, ...] = ("topLevelPackages", "transitivePackages")) -> DataFrame:
+    """One row for each package of each project's targets, direct and transitive ones alike."""
+    each = projects.select("scope", "project", F.explode(targets).alias("f"))
+    parts = [each.select("scope", "project", F.col(f"f.{name}").alias("target"), F.lit(c).alias("collection"), F.explode(F.col(f"f.{c}")).alias("p")) for c in collections]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("scope", "project", "target", "collection", F.col("p.id").alias("package"), F.col("p.requestedVersion").alias("requested"), F.col("p.resolvedVersion").alias("resolved"))

@@ -155,48 +155,45 @@ def m_counters(spark, sf_dir):
     return migration_counts(out, target)
 
 
-GOOD_SQL = f"SELECT * FROM ({OUTCOME_SQL}) g WHERE form NOT IN (8, 9, 10, 12, 13)"
-
-
 @query(f"""SELECT c_custkey, path, source, CASE WHEN path = 'migrate' THEN CASE WHEN form = 1 AND s = 'BUILDING' THEN 'failure' ELSE 'success' END END AS status,
   CASE WHEN path = 'legacy' THEN true WHEN path = 'target' THEN false WHEN form = 1 AND s = 'BUILDING' THEN false WHEN path = 'migrate' THEN true END AS migrated,
   CASE WHEN form = 1 AND s = 'BUILDING' THEN NULL WHEN path IN ('target', 'migrate') OR form = 3 THEN f END AS first_name,
   CASE WHEN form = 1 AND s = 'BUILDING' THEN NULL WHEN path IN ('target', 'migrate') OR form IN (3, 4) THEN l END AS last_name,
-  CASE WHEN form IN (0, 1, 3) THEN s END AS segment FROM ({GOOD_SQL}) o""")
+  CASE WHEN form IN (0, 1, 3) THEN s END AS segment FROM ({OUTCOME_SQL}) o""")
 def m_policy_fall_back(spark, sf_dir):
     registry, target = customer_types(Policy.FALL_BACK, lambda s: s["segment"] == "BUILDING")
-    rows = customer_payloads(spark, sf_dir).where(~(F.col("c_custkey") % 15).isin(8, 9, 10, 12, 13))
-    return report(MigrationEngine(registry).migrate(rows, "payload", target), "c_custkey")
+    rows = customer_payloads(spark, sf_dir)
+    return report(MigrationEngine(registry).migrate(rows, "payload", target, on_error="column"), "c_custkey")
 
 
 @query(f"""SELECT c_custkey, path, source, CASE WHEN path = 'migrate' THEN CASE WHEN form = 1 AND s = 'BUILDING' THEN 'failure' ELSE 'success' END END AS status,
   CASE WHEN path = 'legacy' THEN true WHEN path = 'target' THEN false WHEN path = 'migrate' AND NOT (form = 1 AND s = 'BUILDING') THEN true END AS migrated,
   CASE WHEN form = 1 AND s = 'BUILDING' THEN NULL WHEN path IN ('target', 'migrate') OR form = 3 THEN f END AS first_name,
   CASE WHEN form = 1 AND s = 'BUILDING' THEN NULL WHEN path IN ('target', 'migrate') OR form IN (3, 4) THEN l END AS last_name,
-  CASE WHEN form IN (0, 3) OR form = 1 AND s <> 'BUILDING' THEN s END AS segment FROM ({GOOD_SQL}) o""")
+  CASE WHEN form IN (0, 3) OR form = 1 AND s <> 'BUILDING' THEN s END AS segment FROM ({OUTCOME_SQL}) o""")
 def m_policy_null(spark, sf_dir):
     registry, target = customer_types(Policy.NULL, lambda s: s["segment"] == "BUILDING")
-    rows = customer_payloads(spark, sf_dir).where(~(F.col("c_custkey") % 15).isin(8, 9, 10, 12, 13))
-    return report(MigrationEngine(registry).migrate(rows, "payload", target), "c_custkey")
+    rows = customer_payloads(spark, sf_dir)
+    return report(MigrationEngine(registry).migrate(rows, "payload", target, on_error="column"), "c_custkey")
 
 
 @query(f"""SELECT c_custkey, CASE WHEN form IN (3, 4, 5) THEN 'migrate' ELSE path END AS path, CASE WHEN form IN (3, 4, 5) THEN 'Free' ELSE source END AS source,
-  CASE WHEN path = 'migrate' OR form IN (3, 4, 5) THEN 'success' END AS status, CASE WHEN path = 'target' THEN false WHEN path <> 'null' THEN true END AS migrated,
+  CASE WHEN path = 'migrate' OR form IN (3, 4, 5) THEN 'success' END AS status, CASE WHEN path = 'target' THEN false WHEN path NOT IN ('null', 'error') THEN true END AS migrated,
   CASE WHEN path IN ('target', 'migrate') OR form = 3 THEN f END AS first_name, CASE WHEN path IN ('target', 'migrate') OR form IN (3, 4) THEN l END AS last_name,
-  CASE WHEN form IN (0, 1) THEN s WHEN form IN (3, 4, 5) THEN 'free' END AS segment FROM ({GOOD_SQL}) o""")
+  CASE WHEN form IN (0, 1) THEN s WHEN form IN (3, 4, 5) THEN 'free' END AS segment FROM ({OUTCOME_SQL}) o""")
 def m_undiscriminated(spark, sf_dir):
     registry, target = customer_types(free=True)
-    rows = customer_payloads(spark, sf_dir).where(~(F.col("c_custkey") % 15).isin(8, 9, 10, 12, 13))
-    return report(MigrationEngine(registry).migrate(rows, "payload", target), "c_custkey")
+    rows = customer_payloads(spark, sf_dir)
+    return report(MigrationEngine(registry).migrate(rows, "payload", target, on_error="column"), "c_custkey")
 
 
 @query(f"""SELECT c_custkey, concat('{{"$type":"cust-v3","firstName":', CASE WHEN path = 'migrate' OR form = 3 THEN concat('"', f, '"') ELSE 'null' END,
   ',"lastName":', CASE WHEN path = 'migrate' OR form IN (3, 4) THEN concat('"', l, '"') ELSE 'null' END, ',"segment":', CASE WHEN form IN (1, 3) THEN concat('"', s, '"') ELSE 'null' END, '}}') AS payload
-  FROM ({GOOD_SQL}) o WHERE path IN ('migrate', 'legacy')""")
+  FROM ({OUTCOME_SQL}) o WHERE path IN ('migrate', 'legacy') AND form <> 12""")
 def m_write_back(spark, sf_dir):
     registry, target = customer_types()
-    rows = customer_payloads(spark, sf_dir).where(~(F.col("c_custkey") % 15).isin(8, 9, 10, 12, 13))
-    return MigrationEngine(registry).rewritten(rows, "payload", target)
+    rows = customer_payloads(spark, sf_dir)
+    return MigrationEngine(registry).rewritten(rows, "payload", target, on_error="column")
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN 'legacy' ELSE 'migrate' END AS path, CASE p_partkey % 4 WHEN 0 THEN 'Texts' WHEN 1 THEN 'Numbers' WHEN 2 THEN 'Texts' END AS source,
@@ -414,8 +411,8 @@ def a_ingest(spark, sf_dir):
     """Failed storage operations, suppressed scopes and calls of the runtime give no event; failed calls do."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("entity_id"), "event_type")
     operation = F.when(F.col("event_type") == "view", "read").when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "error", "clear")
-    raw = e.withColumns({"operation": operation, "ok": F.col("event_id") % 4 != 0, "hidden": F.col("event_id") % 10 == 0, "iface": F.when(F.col("event_id") % 3 == 0, feed.SYSTEM_PREFIX + "IX").otherwise("IUser")})
-    return feed.ingest(raw, interface="iface", succeeded="ok", suppressed="hidden").groupBy("kind").agg(F.count("*").alias("n"))
+    raw = e.withColumns({"operation": operation, "ok": F.col("event_id") % 4 != 0, "hidden": F.col("event_id") % 10 == 0, "iface": F.when(F.col("event_id") % 3 == 0, "host.IX").otherwise("IUser")})
+    return feed.ingest(raw, interface="iface", system_prefix="host.", succeeded="ok", suppressed="hidden").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("SELECT store, count(*) AS n FROM (SELECT 'hot' AS store FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'cold' FROM events WHERE event_id % 2 = 1) s GROUP BY store")
@@ -485,9 +482,9 @@ def t_commits(spark, sf_dir):
     return reports.classify_commits(e.withColumn("message", message)).select("seq", F.col("section").cast("int").alias("section"), "description")
 
 
-@query("SELECT s_name AS scope, 'net9' AS framework, c AS collection, concat('p', n) AS package FROM supplier, (VALUES ('topLevelPackages', 1), ('topLevelPackages', 2), ('transitivePackages', 3)) v(c, n)")
+@query("SELECT s_name AS scope, 'v9' AS target, c AS collection, concat('p', n) AS package FROM supplier, (VALUES ('topLevelPackages', 1), ('topLevelPackages', 2), ('transitivePackages', 3)) v(c, n)")
 def t_unroll(spark, sf_dir):
     package = lambda n: F.struct(F.lit(f"p{n}").alias("id"), F.lit("1").alias("requestedVersion"), F.lit("1").alias("resolvedVersion"))
-    frameworks = F.array(F.struct(F.lit("net9").alias("framework"), F.array(package(1), package(2)).alias("topLevelPackages"), F.array(package(3)).alias("transitivePackages")))
-    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("scope"), F.lit("x").alias("project"), frameworks.alias("frameworks"))
-    return reports.unrolled(s).select("scope", "framework", "collection", "package")
+    targets = F.array(F.struct(F.lit("v9").alias("target"), F.array(package(1), package(2)).alias("topLevelPackages"), F.array(package(3)).alias("transitivePackages")))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("scope"), F.lit("x").alias("project"), targets.alias("targets"))
+    return reports.unrolled(s).select("scope", "target", "collection", "package")

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors see, under ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def payloads(spark: SparkSession, path: str, column: str = "payload") -> DataFrame:
     """One JSON payload a line, with the file it is from."""
     return spark.read.text(path).select(F.col("value").alias(column), F.col("_metadata.file_path").alias("file"))

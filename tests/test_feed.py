@@ -38,8 +38,8 @@ def test_take_and_wait(spark):
 
 
 def test_ingest_and_stores(spark):
-    raw = spark.createDataFrame([(1, "write", True, False, "I"), (2, "write", False, False, "I"), (3, "read", True, True, "I"), (4, None, False, False, "I"), (5, None, True, False, "Orleans.Runtime.X")], "seq int, operation string, ok boolean, hidden boolean, iface string").withColumn("entity_id", F.lit(1))
-    out = feed.ingest(raw, interface="iface", succeeded="ok", suppressed="hidden")
+    raw = spark.createDataFrame([(1, "write", True, False, "I"), (2, "write", False, False, "I"), (3, "read", True, True, "I"), (4, None, False, False, "I"), (5, None, True, False, "host.X")], "seq int, operation string, ok boolean, hidden boolean, iface string").withColumn("entity_id", F.lit(1))
+    out = feed.ingest(raw, interface="iface", system_prefix="host.", succeeded="ok", suppressed="hidden")
     assert [(r.seq, r.kind) for r in out.orderBy("seq").collect()] == [(1, feed.WRITE), (4, feed.CALL)]
     assert feed.stores(("a", raw), ("a", raw)).count() == 5
     with pytest.raises(KeyError):

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from palimpsest import contract_queries  # noqa: F401
 from palimpsest import queries as own
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

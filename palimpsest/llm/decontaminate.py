@@ -4,13 +4,14 @@ A document is contaminated by a benchmark item if some passage of it is within `
 (on normalised text: lower case, ASCII punctuation removed, white space as single bytes; lengths and edits in UTF-8 bytes).
 
 1. Windows of an item's size are laid where they can succeed: an item cut into two pieces more than it may have edits keeps
-   two of them untouched, so a window needs the first eight bytes of two pieces, not more than the edits out of line.
+   two of them untouched, so a window needs the first eight bytes of two pieces, not more than the edits out of line. Items
+   under 80 bytes are found by the first four bytes of their pieces; one of fewer than 12 bytes needs a single piece.
 2. Every such window is verified by its exact edit distance, best over all passages around it.
 
 Documents are never shuffled. Items are broadcast in blocks of at most ``ITEM_BYTES`` of text, one pass a block.
 
-Defined cases: null and empty texts are clean; items of fewer than eight normalised bytes, and null ones, take no part; one
-of fewer than 16 must occur as it is; repeated items give one hit each; an empty table on either side gives no hit; other
+Defined cases: null and empty texts are clean; items of fewer than four normalised bytes, and null ones, take no part;
+repeated items give one hit each; an empty table on either side gives no hit; other
 columns are kept by ``mark``.
 """
 
@@ -29,7 +30,7 @@ from palimpsest.llm.hashindex import MULTIPLIER, HashIndex
 
 ship_by_value(__name__)
 
-EDIT_SHARE, SEED_BYTES = 0.1, 8
+EDIT_SHARE, SEED_BYTES, SHORT_SEED = 0.1, 8, 4
 ITEM_BYTES = 32 << 20
 SLICE = 1 << 20
 SPACES, PUNCTUATION = b"\t\n\v\f\r", string.punctuation.encode()
@@ -42,26 +43,14 @@ def normal(text: str | None) -> bytes:
 
 
 def most_edits(size: int, share: float = EDIT_SHARE) -> int:
-    return max(0, min(int(share * size), size // SEED_BYTES - 2))
+    return int(share * size)
 
 
-class Items:
-    """Benchmark items with their pieces."""
+class Seeds:
+    """The first bytes of the pieces of some items, and which items and offsets they are of."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]], share: float = EDIT_SHARE):
-        kept = [(i, normal(t)) for i, t in rows]
-        kept = [(i, t) for i, t in kept if len(t) >= SEED_BYTES]
-        self.ids, self.text = [i for i, _ in kept], [t for _, t in kept]
-        self.size = np.array([len(t) for t in self.text], np.int64)
-        self.edits = np.array([most_edits(len(t), share) for t in self.text], np.int64)
-        key, item, offset = [], [], []
-        for k, t in enumerate(self.text):
-            parts = self.edits[k] + 2 if len(t) >= 2 * SEED_BYTES else 1
-            for p in range(parts):
-                at = p * len(t) // parts
-                key.append(int.from_bytes(t[at : at + SEED_BYTES], "little"))
-                item.append(k)
-                offset.append(at)
+    def __init__(self, size: int, key: list[int], item: list[int], offset: list[int]):
+        self.size = size
         distinct, which = np.unique(np.array(key, np.uint64), return_inverse=True) if key else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         order = np.argsort(which, kind="stable")
         self.item, self.offset = np.array(item, np.int64)[order], np.array(offset, np.int64)[order]
@@ -70,26 +59,50 @@ class Items:
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(distinct * MULTIPLIER) >> np.uint64(42)] = True
 
-    def seeds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of a text that hold the beginning of a piece, and which entry of the index it is."""
-        n = len(data) - SEED_BYTES + 1
-        if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        places, entries = [], []
-        for at in range(0, n, SLICE):
-            part = _words(data, at, min(SLICE, n - at))
+    def places(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, offset) wherever a text holds the beginning of a piece."""
+        n = len(data) - self.size + 1
+        places, entries = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, n if len(self.item) else 0, SLICE):
+            part = _words(data, at, min(SLICE, n - at), self.size)
             near = np.flatnonzero(self.filter[(part * MULTIPLIER) >> np.uint64(42)])
             row = self.index.find(part[near])
             places.append(near[row >= 0] + at)
             entries.append(row[row >= 0])
-        return np.concatenate(places), np.concatenate(entries)
+        place, entry = np.concatenate(places), np.concatenate(entries)
+        count = self.first[entry + 1] - self.first[entry]
+        pick = np.repeat(self.first[entry], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        return np.repeat(place, count), self.item[pick], self.offset[pick]
+
+
+class Items:
+    """Benchmark items with their pieces."""
+
+    def __init__(self, rows: list[tuple[int | None, str | None]], share: float = EDIT_SHARE):
+        kept = [(i, normal(t)) for i, t in rows]
+        kept = [(i, t) for i, t in kept if len(t) >= SHORT_SEED]
+        self.ids, self.text = [i for i, _ in kept], [t for _, t in kept]
+        self.size = np.array([len(t) for t in self.text], np.int64)
+        self.edits = np.array([most_edits(len(t), share) for t in self.text], np.int64)
+        self.need = np.zeros(len(kept), np.int64)
+        found: dict[int, tuple[list, list, list]] = {SEED_BYTES: ([], [], []), SHORT_SEED: ([], [], [])}
+        for k, t in enumerate(self.text):
+            most = int(self.edits[k])
+            seed = SEED_BYTES if len(t) >= SEED_BYTES * (most + 2) else SHORT_SEED
+            self.need[k] = 2 if len(t) >= seed * (most + 2) else 1
+            count = most + int(self.need[k])
+            key, item, offset = found[seed]
+            for p in range(count):
+                at = p * len(t) // count
+                key.append(int.from_bytes(t[at : at + seed], "little"))
+                item.append(k)
+                offset.append(at)
+        self.seeds = [Seeds(size, *lists) for size, lists in found.items() if lists[0]]
 
     def windows(self, data: np.ndarray, owner_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, first start, last start) of the windows that hold two pieces in line. Documents lie in ``data`` one after another."""
-        place, entry = self.seeds(data)
-        count = self.first[entry + 1] - self.first[entry]
-        pick = np.repeat(self.first[entry], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        place, item, offset = np.repeat(place, count), self.item[pick], self.offset[pick]
+        every = [s.places(data) for s in self.seeds]
+        place, item, offset = (np.concatenate(c) for c in zip(*every, strict=True)) if every else (np.zeros(0, np.int64),) * 3
         doc = np.searchsorted(owner_starts, place, "right") - 1
         line = place - offset
         order = np.lexsort((offset, line, item, doc))
@@ -102,7 +115,7 @@ class Items:
         tail = np.append(head[1:], len(doc)) - 1
         pieces = np.unique(np.stack([group, offset]), axis=1)[0]
         several = np.bincount(pieces, minlength=len(head))
-        enough = several >= np.where(self.size[item[head]] >= 2 * SEED_BYTES, 2, 1)
+        enough = several >= self.need[item[head]]
         head, tail = head[enough], tail[enough]
         return doc[head], item[head], line[head], line[tail]
 
@@ -130,9 +143,10 @@ class Items:
         return [sorted(((self.ids[i], x) for i, x in found.items()), key=lambda h: (h[0] is not None, h[0] or 0, h[1])) for found in out]
 
 
-def _words(data: np.ndarray, at: int, count: int) -> np.ndarray:
-    """The eight bytes that start at each of ``count`` places, as one number each."""
-    return np.lib.stride_tricks.as_strided(data[at : at + SEED_BYTES].view("<u8"), (count,), (1,))
+def _words(data: np.ndarray, at: int, count: int, size: int) -> np.ndarray:
+    """The ``size`` bytes that start at each of ``count`` places, as one number each."""
+    kind = "<u8" if size == 8 else "<u4"
+    return np.lib.stride_tricks.as_strided(data[at : at + size].view(kind), (count,), (1,)).astype(np.uint64, copy=False)
 
 
 def least_distance(pattern: bytes, text: bytes) -> int:

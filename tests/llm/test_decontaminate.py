@@ -69,7 +69,7 @@ def test_edits_in_one_run_near_the_start(prose):
     assert [n for n, f in enumerate(found) if n % 20 not in [i for i, _ in f]] == []
 
 
-@pytest.mark.parametrize("item,text,hit", [("short", "short", False), ("exactly ten", "say exactly ten!", True), ("exactly ten", "exactly tan", False)])
+@pytest.mark.parametrize("item,text,hit", [("short", "a short one", True), ("short", "a shirt", False), ("abc", "abc", False), ("exactly ten", "say exactly ten!", True), ("exactly ten", "exactly tan", True), ("exactly ten", "exactly tam", False)])
 def test_small_items(item, text, hit):
     assert bool(D.Items([(1, item)]).hits([text])[0]) is hit
 
@@ -88,3 +88,20 @@ def test_items_in_blocks(spark, docs, prose, monkeypatch):
     monkeypatch.setattr(D.item_blocks, "__defaults__", (500,))
     out = D.mark(docs([(1, prose(52, 40) + " " + prose(55, 40))]), bench).first()
     assert sorted(h.item_id for h in out.hits) == [2, 5]
+
+
+def test_short_items_get_their_tenth(prose):
+    r = random.Random(8)
+    text = prose(31, 400, 1)
+    missed = []
+    for size in (4, 7, 9, 10, 12, 16, 20, 30, 47, 64, 79, 80, 81, 120):
+        for k in range(20):
+            item = "".join(r.choice("bcdfghjkmnpqrstvwxyz") for _ in range(size))
+            passage = list(item)
+            for at in r.sample(range(size), int(0.1 * size)):
+                passage[at] = "a"
+            at = r.randrange(len(text))
+            items = D.Items([(k, item)])
+            if items.hits([text[:at] + "".join(passage) + text[at:]]) != [[(k, int(0.1 * size))]]:
+                missed.append((size, item))
+    assert not missed

@@ -16,6 +16,7 @@ from palimpsest.functions.typed import KINDS, openapi_schema, typed
 from palimpsest.operators import feed, reports
 from palimpsest.operators.migrate import MigrationEngine, Options, migration_counts
 from palimpsest.plans.registry import Listed, Policy, Registry, Versioned
+from palimpsest.sources.files import dealt
 
 S, I, D = T.StringType(), T.IntegerType(), T.DoubleType()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,7 +201,7 @@ def m_write_back(spark, sf_dir):
   CASE p_partkey % 4 WHEN 0 THEN concat('brand=', p_brand, ';type=', p_type) WHEN 1 THEN concat('size=', p_size) WHEN 2 THEN concat('brand=', p_brand) END AS label FROM part""")
 def m_maps(spark, sf_dir):
     """Objects without a discriminator as maps: the first value decides between maps of texts and of numbers; {} is legacy."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size"))
     form = F.col("p_partkey") % 4
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     payload = (
@@ -219,7 +220,7 @@ def m_maps(spark, sf_dir):
   CASE o_orderkey % 6 WHEN 0 THEN concat('ints:', o_orderkey, ',', o_custkey) WHEN 1 THEN concat('strings:', o_orderstatus, ',', o_orderpriority) WHEN 2 THEN concat('v1:', o_orderpriority) WHEN 3 THEN concat('v2:', o_orderpriority) WHEN 4 THEN concat('grid:', o_custkey) END AS label FROM orders""")
 def m_arrays(spark, sf_dir):
     """Lists told apart by their first element: its token, its discriminator, its shape. An empty list is ambiguous."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     key, cust, form = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderkey") % 6
     item = lambda v: F.concat(F.lit(f'[{{"$type":"elem-v{v}","data":"'), F.col("o_orderpriority"), F.lit('"}]'))
     payload = (

@@ -19,6 +19,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt out over the cores where its files give fewer splits than that: few, small files under a
+    costly map. A scan with a split for every core is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def payloads(spark: SparkSession, path: str, column: str = "payload") -> DataFrame:
     """One JSON payload a line, with the file it is from."""
     return spark.read.text(path).select(F.col("value").alias(column), F.col("_metadata.file_path").alias("file"))

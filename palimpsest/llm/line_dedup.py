@@ -5,15 +5,16 @@
    whose leading bits choose a bin and whose rest competes for the bin's minimum. Only shingles among the few smallest
    expected in a bin are kept before aggregation. Empty bins borrow from the next.
 3. Rows of the signature form bands; their height follows from the threshold (``rows_for``). Entries of a bucket of up to
-   ``FEW`` are tied in all pairs, those of a larger one to its hubs, the least entries in ``len(ORDERS)`` different orders.
-   Ties whose whole signatures share too few bins (``least_equal``) go; the rest is verified by exact Jaccard similarity of
-   the shingle sets, first those with a bucket's least, then those whose ends are still in different components.
+   ``FEW`` are tied in all pairs, those of a larger one to its least. Ties whose whole signatures share too few bins
+   (``least_equal``) go; the rest is verified by exact Jaccard similarity of the shingle sets, first those with a bucket's least,
+   then those whose ends are still in different components. Entries of a large bucket that are then outside the component of
+   its least are compared, in blocks, with all its entries of other components: no partner is left out, at any size.
 4. Union-find (large-star, small-star) gives components.
 5. The first place of each component keeps its line.
 
 Shingles are slices of the line's UTF-32 form, exploded and hashed inside generated code; their minima are aggregated before
-anything is shuffled. Texts are shuffled once, and only lines with a tie are compared. All steps cost in proportion to the
-lines, also where thousands of lines are alike; what hubs miss of all pairs of a large bucket is measured in the README.
+anything is shuffled. Texts are shuffled once, and only lines with a tie are compared. Thousands of lines that are alike hang on
+one another and cost in proportion to their number; only large buckets of lines that are not alike cost more, by their blocks.
 
 Defined cases: null texts stay null and empty texts empty; blank lines are kept; a line shorter than a shingle only equals
 itself; rows without a doc_id, and documents that repeat a doc_id, are told apart by their content; an empty table gives no row;
@@ -33,8 +34,7 @@ from palimpsest.llm.components import connected_components
 
 SHINGLE, THRESHOLD, BINS = 6, 0.8, 21
 DENSITY = 2  # smallest shingles expected to stay in a bin
-FEW = 16
-ORDERS = (0, -1, 0x5555555555555555)  # hubs are least after an exclusive or with these
+FEW, BLOCK = 256, 4096
 LANES, LOW, HIGH = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080  # bins a number holds, eight bits each
 
 
@@ -107,24 +107,50 @@ def shingle_set(line: Column, shingle: int) -> Column:
     return F.array_distinct(F.element_at(F.transform(F.array(wide(line)), lambda w: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(F.substring(w, at, F.lit(shingle * 4))))), 1))
 
 
-def _sigs(keyed: DataFrame, entry: str, prefix: str) -> DataFrame:
-    return keyed.select(F.col("entry").alias(entry), *[F.col(c).alias(prefix + c[1:]) for c in keyed.columns if c[0] == "s"])
+def bucket_rows(keyed: DataFrame, few: int) -> DataFrame:
+    """(entry, key, large, first, s0, s1 ...) of entries that share a bucket; ``first`` marks the bucket's least."""
+    keys = keyed.select("entry", F.explode("keys").alias("key"))
+    bucket = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("entry").alias("least")).where(F.col("c") > 1)
+    rows = keys.join(bucket.hint("shuffle_hash"), "key").select("entry", "key", (F.col("c") > few).alias("large"), (F.col("entry") == F.col("least")).alias("first"))
+    return persist(rows.join(keyed.drop("keys"), "entry"), "line-buckets")
 
 
-def near_ties(keyed: DataFrame, least: int, few: int = FEW) -> DataFrame:
-    """Ties (a, b, first) of entries that share a bucket, of all pairs or with hubs, that share at least so many bins."""
-    keys = keyed.select("entry", F.explode("keys").alias("key"))
-    least_of = [F.min(F.col("entry").bitwiseXOR(F.lit(o).cast("long"))).bitwiseXOR(F.lit(o).cast("long")) for o in ORDERS]
-    bucket = keys.groupBy("key").agg(F.count("*").alias("c"), F.array_distinct(F.array(*least_of)).alias("hubs")).where(F.col("c") > 1)
-    rows = keys.join(bucket.select("key", "c", F.when(F.col("c") > few, F.col("hubs")).alias("hubs")).hint("shuffle_hash"), "key")
-    rows = persist(rows, "line-buckets")
-    lists = rows.where(F.col("c") <= few).groupBy("key").agg(F.array_sort(F.collect_list("entry")).alias("es")).select("es", F.explode(F.sequence(F.lit(0), F.size("es") - 2)).alias("i"))
-    small = lists.select(F.explode(F.slice("es", F.col("i") + 2, F.size("es"))).alias("a"), F.get("es", F.col("i")).alias("b"), (F.col("i") == 0).alias("first"))
-    large = rows.where(F.col("c") > few).select(F.col("entry").alias("a"), F.posexplode("hubs").alias("i", "b")).where(F.col("a") != F.col("b"))
-    ties = small.unionAll(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("i") == 0).alias("first")))
-    ties = ties.groupBy("a", "b").agg(F.max("first").alias("first"))
-    both = ties.join(_sigs(keyed, "a", "x"), "a").join(_sigs(keyed, "b", "y"), "b")
-    return persist(both.where(equal_bins("x", "y") >= least).select("a", "b", "first"), "line-near")
+def _as(rows: DataFrame, entry: str, prefix: str, *more: Column | str) -> DataFrame:
+    return rows.select(*more, F.col("entry").alias(entry), *[F.col(c).alias(prefix + c[1:]) for c in rows.columns if c[0] == "s"])
+
+
+def near_ties(rows: DataFrame, least: int) -> DataFrame:
+    """Ties (a, b, first) that share at least so many bins: all pairs of the entries of a small bucket, and those of a large one with
+    its least. Pairs are compared inside the join, which gives out only those that pass."""
+    one = _as(rows, "a", "x", "key")
+    two = _as(rows.where(~F.col("large") | F.col("first")), "b", "y", F.col("key").alias("k"), "first")
+    ties = one.join(two.hint("shuffle_hash"), (F.col("key") == F.col("k")) & (F.col("a") > F.col("b")) & (equal_bins("x", "y") >= least))
+    return persist(ties.groupBy("a", "b").agg(F.max("first").alias("first")), "line-near")
+
+
+def ties_between(rows: DataFrame, classes: DataFrame, least: int, block: int) -> DataFrame:
+    """Ties (a, b) of large buckets whose ends are in different components.
+
+    Entries outside the component of their bucket's least are dealt out in blocks; each block meets all entries of the bucket.
+    """
+    known = classes.select(F.col("node").alias("entry"), "component")
+    large = rows.where("large").join(known, "entry", "left").withColumn("o", F.coalesce("component", "entry")).drop("component", "large")
+    large = persist(large, "line-large")
+    main = large.where("first").select(F.col("key").alias("mk"), F.col("o").alias("main"))
+    large = large.drop("first").join(main.hint("shuffle_hash"), F.col("key") == F.col("mk")).withColumn("out", F.col("o") != F.col("main"))
+    blocks = large.where("out").groupBy(F.col("key").alias("bk")).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    large = large.join(blocks.hint("shuffle_hash"), F.col("key") == F.col("bk"))
+    one = _as(large.where("out"), "a", "x", "key", F.pmod(F.xxhash64("entry"), F.col("n")).cast("int").alias("at"), F.col("o").alias("oa"))
+    two = _as(large, "b", "y", F.col("key").alias("k"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bt"), F.col("o").alias("ob"), "out")
+    met = two.join(one.hint("shuffle_hash"), (F.col("key") == F.col("k")) & (F.col("at") == F.col("bt")) & (F.col("oa") != F.col("ob")) & (~F.col("out") | (F.col("a") > F.col("b"))) & (equal_bins("x", "y") >= least))
+    return met.select("a", "b").distinct()
+
+
+def apart(ties: DataFrame, classes: DataFrame) -> DataFrame:
+    """``ties`` (a, b) between different components, with these as oa and ob."""
+    now = lambda e: classes.select(F.col("node").alias(e), F.col("component").alias(f"now_{e}"))
+    rows = ties.join(now("a"), "a", "left").join(now("b"), "b", "left").select("a", "b", F.coalesce("now_a", "a").alias("oa"), F.coalesce("now_b", "b").alias("ob"))
+    return rows.where(F.col("oa") != F.col("ob"))
 
 
 def texts_of(ends: DataFrame, docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -159,13 +185,14 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
 def line_classes(lines: DataFrame, places: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the entries that are like another."""
     keyed = persist(band_keys(signatures(lines, shingle), rows_for(threshold)), "line-keys")
-    near = near_ties(keyed, least_equal(threshold))
-    ends = near.select(F.col("a").alias("e")).unionAll(near.select("b")).distinct()
+    rows, least = bucket_rows(keyed, FEW), least_equal(threshold)
+    near = near_ties(rows, least)
+    ends = near.select(F.col("a").alias("e")).unionAll(near.select("b")).unionAll(rows.where("large").select("entry")).distinct()
     texts = texts_of(ends, docs, places, id_col, text_col)
     classes = persist(connected_components(verified(near.where("first").select("a", "b"), texts, shingle, threshold)), "line-classes")
-    now = lambda e: classes.select(F.col("node").alias(e), F.col("component").alias(f"now_{e}"))
-    rest = near.where(~F.col("first")).join(now("a"), "a", "left").join(now("b"), "b", "left").select("a", "b", F.coalesce("now_a", "a").alias("oa"), F.coalesce("now_b", "b").alias("ob"))
-    return merged(classes, verified(rest.where(F.col("oa") != F.col("ob")), texts, shingle, threshold))
+    rest = near.where(~F.col("first")).select("a", "b").unionByName(ties_between(rows, classes, least, BLOCK)).distinct()
+    rest = persist(apart(rest, classes), "line-rest")
+    return merged(classes, verified(rest, texts, shingle, threshold))
 
 
 def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -51,7 +51,10 @@ def test_against_brute_force(spark, docs, prose):
     assert len(kept) == len(rows)
 
 
-def test_links_between_entries_that_a_bucket_s_least_is_unlike(spark, docs, prose):
+@pytest.mark.parametrize("few, block", [(L.FEW, L.BLOCK), (3, 4)])  # the second: nearly every bucket is large and in several blocks
+def test_links_between_entries_that_a_bucket_s_least_is_unlike(spark, docs, prose, monkeypatch, few, block):
+    monkeypatch.setattr(L, "FEW", few)
+    monkeypatch.setattr(L, "BLOCK", block)
     r = random.Random(5)
     rows = []
     for i in range(20):

@@ -4,17 +4,18 @@
 2. An entry's signature comes from its distinct character shingles by one-permutation hashing: one 64-bit hash a shingle,
    whose leading bits choose a bin and whose rest competes for the bin's minimum. Only shingles among the few smallest
    expected in a bin are kept before aggregation. Empty bins borrow from the next.
-3. Rows of the signature form bands; their height follows from the threshold (``rows_for``). Entries of a bucket of up to
-   ``FEW`` are tied in all pairs, those of a larger one to its least. Ties whose whole signatures share too few bins
-   (``least_equal``) go; the rest is verified by exact Jaccard similarity of the shingle sets, first those with a bucket's least,
-   then those whose ends are still in different components. Entries of a large bucket that are then outside the component of
-   its least are compared, in blocks, with all its entries of other components: no partner is left out, at any size.
+3. Rows of the signature form bands; their height follows from the threshold (``rows_for``). Entries of a bucket that share too few
+   bins (``least_equal``) are no pair; entries without a partner go. The rest get a parity sketch of their shingle sets, which
+   bounds the similarity of a pair from above, without error. Pairs within the bound are verified by exact Jaccard similarity of the
+   shingle sets: first those with a bucket's least entry; then, between entries that are still in different components, those with
+   about ``FEW`` of the bucket, with ``FEW`` times as many, and so on up to all of it. No partner is left out, at any size.
 4. Union-find (large-star, small-star) gives components.
 5. The first place of each component keeps its line.
 
 Shingles are slices of the line's UTF-32 form, exploded and hashed inside generated code; their minima are aggregated before
-anything is shuffled. Texts are shuffled once, and only lines with a tie are compared. Thousands of lines that are alike hang on
-one another and cost in proportion to their number; only large buckets of lines that are not alike cost more, by their blocks.
+anything is shuffled. Texts are shuffled once, and only lines with a partner. An entry that is like many others is tied to some before
+it meets all, so few ties leave a join for each entry. What grows with the square of a bucket are comparisons of sketches inside
+the join, between entries of different components.
 
 Defined cases: null texts stay null and empty texts empty; blank lines are kept; a line shorter than a shingle only equals
 itself; rows without a doc_id, and documents that repeat a doc_id, are told apart by their content; an empty table gives no row;
@@ -34,7 +35,7 @@ from palimpsest.llm.components import connected_components
 
 SHINGLE, THRESHOLD, BINS = 6, 0.8, 21
 DENSITY = 2  # smallest shingles expected to stay in a bin
-FEW, BLOCK = 256, 4096
+FEW, BLOCK, WORDS = 16, 4096, 8
 LANES, LOW, HIGH = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080  # bins a number holds, eight bits each
 
 
@@ -107,50 +108,79 @@ def shingle_set(line: Column, shingle: int) -> Column:
     return F.array_distinct(F.element_at(F.transform(F.array(wide(line)), lambda w: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(F.substring(w, at, F.lit(shingle * 4))))), 1))
 
 
-def bucket_rows(keyed: DataFrame, few: int) -> DataFrame:
-    """(entry, key, large, first, s0, s1 ...) of entries that share a bucket; ``first`` marks the bucket's least."""
-    keys = keyed.select("entry", F.explode("keys").alias("key"))
-    bucket = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("entry").alias("least")).where(F.col("c") > 1)
-    rows = keys.join(bucket.hint("shuffle_hash"), "key").select("entry", "key", (F.col("c") > few).alias("large"), (F.col("entry") == F.col("least")).alias("first"))
+def bucket_rows(keyed: DataFrame) -> DataFrame:
+    """(entry, key, c, s0, s1 ...) of entries that share a bucket of ``c`` entries."""
+    keys = keyed.select("entry", F.explode("keys").alias("key")).repartition("key")  # dealt out once, for the count and the join
+    bucket = keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+    rows = keys.join(bucket.hint("shuffle_hash"), "key")
     return persist(rows.join(keyed.drop("keys"), "entry"), "line-buckets")
 
 
-def _as(rows: DataFrame, entry: str, prefix: str, *more: Column | str) -> DataFrame:
-    return rows.select(*more, F.col("entry").alias(entry), *[F.col(c).alias(prefix + c[1:]) for c in rows.columns if c[0] == "s"])
+def facing(one: DataFrame, two: DataFrame, how: str, test: Column, block: int) -> DataFrame:
+    """Rows ``one`` (a_key, a_c, a_entry ...) joined with ``two`` (b_key, b_c, b_entry ...) of their bucket where ``test`` holds. Pairs are
+    compared inside the join, which gives out only those that pass. The first side of a large bucket is dealt out in blocks."""
+    n = lambda c: F.ceil(F.col(c) / block).cast("int")
+    one = one.withColumn("at", F.pmod(F.xxhash64("a_entry"), n("a_c")).cast("int"))
+    two = two.withColumn("bt", F.explode(F.sequence(F.lit(0), n("b_c") - 1)))
+    return one.join(two.hint("shuffle_hash"), (F.col("a_key") == F.col("b_key")) & (F.col("at") == F.col("bt")) & test, how)
 
 
-def near_ties(rows: DataFrame, least: int) -> DataFrame:
-    """Ties (a, b, first) that share at least so many bins: all pairs of the entries of a small bucket, and those of a large one with
-    its least. Pairs are compared inside the join, which gives out only those that pass."""
-    one = _as(rows, "a", "x", "key")
-    two = _as(rows.where(~F.col("large") | F.col("first")), "b", "y", F.col("key").alias("k"), "first")
-    ties = one.join(two.hint("shuffle_hash"), (F.col("key") == F.col("k")) & (F.col("a") > F.col("b")) & (equal_bins("x", "y") >= least))
-    return persist(ties.groupBy("a", "b").agg(F.max("first").alias("first")), "line-near")
+def named(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(prefix + c) for c in rows.columns])
 
 
-def ties_between(rows: DataFrame, classes: DataFrame, least: int, block: int) -> DataFrame:
-    """Ties (a, b) of large buckets whose ends are in different components.
+def counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with the count ``c`` of their bucket's rows and its least entry."""
+    bucket = rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c"), F.min("entry").alias("least"))
+    return rows.drop("c").join(bucket.hint("shuffle_hash"), F.col("key") == F.col("k")).drop("k")
 
-    Entries outside the component of their bucket's least are dealt out in blocks; each block meets all entries of the bucket.
-    """
+
+def with_partners(rows: DataFrame, least: int, block: int) -> DataFrame:
+    """``rows`` that share at least so many bins with another of their bucket: each once, however many they are like."""
+    return facing(named(rows, "a_"), named(rows, "b_"), "left_semi", (F.col("a_entry") != F.col("b_entry")) & (equal_bins("a_s", "b_s") >= least), block).select(*[F.col(f"a_{c}").alias(c) for c in rows.columns])
+
+
+def marks(texts: DataFrame, shingle: int, words: int = WORDS) -> DataFrame:
+    """(entry, size, m0, m1 ...): the number of distinct shingles, and the parity of those that hash to each of 64 x ``words`` bits."""
+    sets = texts.select("entry", shingle_set(F.col("line"), shingle).alias("set"))
+    rows = sets.select("entry", F.explode("set").alias("h"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
+    word = F.pmod("h", F.lit(words))
+    return rows.groupBy("entry").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(words)])
+
+
+def may_be_near(threshold: float, words: int = WORDS) -> Column:
+    """False only for pairs under the threshold: every odd bit of the difference stands for a shingle that one of the lines lacks."""
+    odd = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_m{k}").bitwiseXOR(F.col(f"b_m{k}"))) for k in range(words)])
+    return odd <= (F.col("a_size") + F.col("b_size")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
+def hub_ties(rows: DataFrame, test: Column) -> DataFrame:
+    """Ties (a, b) of entries with the least of their bucket."""
+    hubs = rows.where(F.col("entry") == F.col("least"))
+    ties = named(rows, "a_").join(named(hubs, "b_").hint("shuffle_hash"), (F.col("a_key") == F.col("b_key")) & (F.col("a_entry") != F.col("b_entry")) & test)
+    return ties.select(F.col("a_entry").alias("a"), F.col("b_entry").alias("b")).distinct()
+
+
+def open_rows(rows: DataFrame, classes: DataFrame, over: int) -> DataFrame:
+    """``rows`` with their component o and the ``keys`` of all their rows here, in buckets of over ``over`` entries that are not all in one component."""
     known = classes.select(F.col("node").alias("entry"), "component")
-    large = rows.where("large").join(known, "entry", "left").withColumn("o", F.coalesce("component", "entry")).drop("component", "large")
-    large = persist(large, "line-large")
-    main = large.where("first").select(F.col("key").alias("mk"), F.col("o").alias("main"))
-    large = large.drop("first").join(main.hint("shuffle_hash"), F.col("key") == F.col("mk")).withColumn("out", F.col("o") != F.col("main"))
-    blocks = large.where("out").groupBy(F.col("key").alias("bk")).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
-    large = large.join(blocks.hint("shuffle_hash"), F.col("key") == F.col("bk"))
-    one = _as(large.where("out"), "a", "x", "key", F.pmod(F.xxhash64("entry"), F.col("n")).cast("int").alias("at"), F.col("o").alias("oa"))
-    two = _as(large, "b", "y", F.col("key").alias("k"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bt"), F.col("o").alias("ob"), "out")
-    met = two.join(one.hint("shuffle_hash"), (F.col("key") == F.col("k")) & (F.col("at") == F.col("bt")) & (F.col("oa") != F.col("ob")) & (~F.col("out") | (F.col("a") > F.col("b"))) & (equal_bins("x", "y") >= least))
-    return met.select("a", "b").distinct()
+    rows = rows.where(F.col("c") > over).drop("o", "keys").join(known, "entry", "left").withColumn("o", F.coalesce("component", "entry")).drop("component")
+    split = rows.groupBy(F.col("key").alias("k")).agg(F.min("o").alias("lo"), F.max("o").alias("hi")).where(F.col("lo") != F.col("hi")).select("k")
+    rows = persist(rows.join(split.hint("shuffle_hash"), F.col("key") == F.col("k"), "left_semi"), "line-open")
+    keys = rows.groupBy(F.col("entry").alias("e")).agg(F.collect_set("key").alias("keys"))
+    return rows.join(keys, F.col("entry") == F.col("e")).drop("e")
+
 
+def open_ties(rows: DataFrame, share: int, test: Column, block: int) -> DataFrame:
+    """Ties (a, b) between different components: of all entries with about ``share`` of their bucket, with all in buckets up to ``share``.
 
-def apart(ties: DataFrame, classes: DataFrame) -> DataFrame:
-    """``ties`` (a, b) between different components, with these as oa and ob."""
-    now = lambda e: classes.select(F.col("node").alias(e), F.col("component").alias(f"now_{e}"))
-    rows = ties.join(now("a"), "a", "left").join(now("b"), "b", "left").select("a", "b", F.coalesce("now_a", "a").alias("oa"), F.coalesce("now_b", "b").alias("ob"))
-    return rows.where(F.col("oa") != F.col("ob"))
+    A pair leaves the join in the least of the buckets that it shares here; where that has not drawn it, the bucket stays open for later shares."""
+    once = F.col("a_key") == F.array_min(F.array_intersect("a_keys", "b_keys"))
+    rows = rows.withColumn("drawn", F.pmod(F.xxhash64("entry", F.lit(share)), F.ceil(F.col("c") / share)) == 0)
+    one, two = named(rows, "a_"), named(rows.where("drawn").drop("drawn"), "b_")
+    met = facing(one, two, "inner", (F.col("a_o") != F.col("b_o")) & (~F.col("a_drawn") | (F.col("a_entry") > F.col("b_entry"))) & test & once, block)
+    return met.select(F.col("a_entry").alias("a"), F.col("b_entry").alias("b"), F.col("a_o").alias("oa"), F.col("b_o").alias("ob")).dropDuplicates(["a", "b"])
 
 
 def texts_of(ends: DataFrame, docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -185,14 +215,22 @@ def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
 def line_classes(lines: DataFrame, places: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) of the entries that are like another."""
     keyed = persist(band_keys(signatures(lines, shingle), rows_for(threshold)), "line-keys")
-    rows, least = bucket_rows(keyed, FEW), least_equal(threshold)
-    near = near_ties(rows, least)
-    ends = near.select(F.col("a").alias("e")).unionAll(near.select("b")).unionAll(rows.where("large").select("entry")).distinct()
-    texts = texts_of(ends, docs, places, id_col, text_col)
-    classes = persist(connected_components(verified(near.where("first").select("a", "b"), texts, shingle, threshold)), "line-classes")
-    rest = near.where(~F.col("first")).select("a", "b").unionByName(ties_between(rows, classes, least, BLOCK)).distinct()
-    rest = persist(apart(rest, classes), "line-rest")
-    return merged(classes, verified(rest, texts, shingle, threshold))
+    least = least_equal(threshold)
+    rows = persist(with_partners(bucket_rows(keyed), least, BLOCK), "line-partners")
+    texts = texts_of(rows.select(F.col("entry").alias("e")).distinct(), docs, places, id_col, text_col)
+    rows = persist(counted(rows).join(marks(texts, shingle), "entry"), "line-marked")
+    test = (equal_bins("a_s", "b_s") >= least) & may_be_near(threshold)
+    classes = persist(connected_components(verified(hub_ties(rows, test), texts, shingle, threshold)), "line-classes")
+    largest = rows.agg(F.max("c")).first()[0] or 0
+    rows = rows.where(F.col("entry") != F.col("least"))
+    done, share = 2, FEW
+    while done < largest:
+        rows = open_rows(rows, classes, done)
+        ties = persist(open_ties(rows, share, test, BLOCK), "line-ties")
+        if not ties.isEmpty():
+            classes = merged(classes, verified(ties, texts, shingle, threshold))
+        done, share = share, share * FEW
+    return classes
 
 
 def keepers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

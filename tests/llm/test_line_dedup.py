@@ -115,3 +115,18 @@ def test_one_group_of_near_copies_and_outsiders(spark, docs, prose):
     rows += [(1000 + i, prose(5000 + i, 30, 1)) for i in range(30)]
     gone = {v.doc for v in L.line_verdicts(docs(rows)).where(~F.col("kept")).select("doc").collect()}
     assert gone == set(range(1, 600))
+
+
+def test_ties_to_verify_do_not_grow_with_the_square_of_a_family(spark, docs, prose, monkeypatch):
+    r = random.Random(8)
+    base, rows = prose(31, 24, 1).split(" "), []
+    for i in range(300):  # all from one line, most pairs under the threshold and all in the same buckets
+        words = list(base)
+        for at in r.sample(range(len(words)), 2):
+            words[at] = "".join(r.choice("αβγδεζηθικλμ") for _ in range(6))
+        rows.append((i, " ".join(words)))
+    seen, real = [], L.verified
+    monkeypatch.setattr(L, "verified", lambda ties, *more: seen.append(ties.count()) or real(ties, *more))
+    verdicts = L.line_verdicts(docs(rows)).where(~F.col("kept")).select("doc", "n").collect()
+    assert {(v.doc, v.n) for v in verdicts} == brute(rows)
+    assert sum(seen) < 20 * len(rows)

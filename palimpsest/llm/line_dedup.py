@@ -65,8 +65,9 @@ def shingle_hash(wide_line: Column, at: Column, size: int) -> Column:
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, copy, n, line, entry) for every non-blank line. ``copy`` tells documents with one id apart."""
     text = F.col(text_col)
-    whole = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)).alias("lines"))
-    rows = whole.select("doc", "copy", F.posexplode("lines").alias("n", "line"))
+    # The outer form has no filter on its array inferred, which would split each text again; a null text gives a null line.
+    whole = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("copy"), F.posexplode_outer(F.split(text, "\n", -1)).alias("n", "raw"))
+    rows = whole.select("doc", "copy", "n", F.trim("raw").alias("line"))
     return rows.where(F.col("line") != "").withColumn("entry", F.xxhash64("line"))
 
 
@@ -80,7 +81,8 @@ def signatures(lines: DataFrame, shingle: int = SHINGLE, bins: int = BINS, densi
     # The low 32 bits compete, the high 31 choose the bin; of n shingles about density x bins pass.
     near = hashed.select("entry", F.col("h").bitwiseAND(0xFFFFFFFF).alias("value"), (F.shiftrightunsigned("h", 33) % bins).cast("int").alias("place"), "level")
     near = near.where(F.col("value") * F.col("level") < (1 << 32))
-    return near.groupBy("entry").agg(*[F.min(F.when(F.col("place") == b, F.col("value"))).alias(f"b{b}") for b in range(bins)])
+    none = F.lit(1 << 32)  # over any value; minima of values that are never null take half the time
+    return near.groupBy("entry").agg(*[F.nullif(F.min(F.when(F.col("place") == b, F.col("value")).otherwise(none)), none).alias(f"b{b}") for b in range(bins)])
 
 
 def band_keys(signature: DataFrame, rows: int, bins: int = BINS) -> DataFrame:
@@ -102,10 +104,13 @@ def equal_bins(x: str, y: str, bins: int = BINS) -> Column:
     return out - (-bins % LANES)  # lanes without a bin are always equal
 
 
-def shingle_set(line: Column, shingle: int) -> Column:
-    """Hashes of the distinct shingles. The wide form is bound by the outer lambda, so it is made once a line."""
+def shingles_of(line: Column, shingle: int) -> Column:
+    """A row with the hashes of the line's shingles, in place order. The wide form is bound by the outer lambda, so it is made once a line.
+
+    It is a generator's row, so no filter is pushed below it and makes the hashes again, and distinct ones are told in generated code.
+    """
     last = (F.char_length(line) - shingle) * 4 + 1
-    return F.array_distinct(F.element_at(F.transform(F.array(wide(line)), lambda w: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(F.substring(w, at, F.lit(shingle * 4))))), 1))
+    return F.explode_outer(F.transform(F.array(wide(line)), lambda w: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: F.xxhash64(F.substring(w, at, F.lit(shingle * 4))))))
 
 
 def bucket_rows(keyed: DataFrame) -> DataFrame:
@@ -113,7 +118,7 @@ def bucket_rows(keyed: DataFrame) -> DataFrame:
     keys = keyed.select("entry", F.explode("keys").alias("key")).repartition("key")  # dealt out once, for the count and the join
     bucket = keys.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > 1)
     rows = keys.join(bucket.hint("shuffle_hash"), "key")
-    return persist(rows.join(keyed.drop("keys"), "entry"), "line-buckets")
+    return persist(rows.join(keyed.drop("keys").hint("shuffle_hash"), "entry"), "line-buckets")
 
 
 def facing(one: DataFrame, two: DataFrame, how: str, test: Column, block: int) -> DataFrame:
@@ -142,11 +147,9 @@ def with_partners(rows: DataFrame, least: int, block: int) -> DataFrame:
 
 def marks(texts: DataFrame, shingle: int, words: int = WORDS) -> DataFrame:
     """(entry, size, m0, m1 ...): the number of distinct shingles, and the parity of those that hash to each of 64 x ``words`` bits."""
-    sets = texts.select("entry", shingle_set(F.col("line"), shingle).alias("set"))
-    rows = sets.select("entry", F.explode("set").alias("h"))
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
-    word = F.pmod("h", F.lit(words))
-    return rows.groupBy("entry").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(words)])
+    rows = texts.select("entry", shingles_of(F.col("line"), shingle).alias("all")).select("entry", F.explode_outer(F.array_distinct("all")).alias("h"))
+    rows = rows.select("entry", F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))").alias("bit"), F.pmod("h", F.lit(words)).alias("word"))
+    return rows.groupBy("entry").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(words)])
 
 
 def may_be_near(threshold: float, words: int = WORDS) -> Column:
@@ -189,18 +192,19 @@ def texts_of(ends: DataFrame, docs: DataFrame, places: DataFrame, id_col: str, t
     whole = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text_col).alias("c"), F.col(text_col).alias("t"))
     rows = whole.join(wanted.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")))
     lines = F.element_at(F.transform(F.array(F.split("t", "\n", -1)), lambda p: F.transform("ws", lambda x: F.struct(x["entry"].alias("entry"), F.trim(F.element_at(p, x["n"] + 1)).alias("line")))), 1)
-    return persist(rows.select(F.explode(lines).alias("x")).select("x.entry", "x.line").dropDuplicates(["entry"]), "line-texts")
+    return persist(rows.select(F.explode_outer(lines).alias("x")).select("x.entry", "x.line").dropDuplicates(["entry"]), "line-texts")
 
 
 def verified(ties: DataFrame, texts: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The ties (a, b) whose lines have at least the similarity ``threshold``.
 
     Ties carry a's line to where b's shingles, made once a hub, are hashed; a hub of very many ties is split by the adaptive join.
+    The intersection passes through a generator, so the filter is not pushed below it and makes it once.
     """
-    hubs = texts.select(F.col("entry").alias("b"), F.col("line").alias("lb")).join(ties.select("b").distinct(), "b").repartition("b").select("b", shingle_set(F.col("lb"), shingle).alias("sb"))
+    hubs = texts.select(F.col("entry").alias("b"), F.col("line").alias("lb")).join(ties.select("b").distinct(), "b").repartition("b").select("b", shingles_of(F.col("lb"), shingle).alias("sb")).select("b", F.array_distinct("sb").alias("sb"))
     both = ties.join(texts.select(F.col("entry").alias("a"), F.col("line").alias("la")), "a").join(hubs.hint("shuffle_hash"), "b")
-    both = both.select(*ties.columns, shingle_set(F.col("la"), shingle).alias("sa"), "sb")
-    both = both.select(*ties.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    both = both.select(*ties.columns, shingles_of(F.col("la"), shingle).alias("sa"), "sb")
+    both = both.select(*ties.columns, F.size(F.array_distinct("sa")).alias("na"), F.size("sb").alias("nb"), F.explode_outer(F.array(F.size(F.array_intersect("sa", "sb")))).alias("common"))
     return both.where(F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9).select(*ties.columns)
 
 

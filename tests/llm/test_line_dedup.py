@@ -130,3 +130,13 @@ def test_ties_to_verify_do_not_grow_with_the_square_of_a_family(spark, docs, pro
     verdicts = L.line_verdicts(docs(rows)).where(~F.col("kept")).select("doc", "n").collect()
     assert {(v.doc, v.n) for v in verdicts} == brute(rows)
     assert sum(seen) < 20 * len(rows)
+
+
+def test_sets_and_lines_are_made_once(spark, docs):
+    lines = L.lines_of(docs([(1, "a line of text\nb")]), "doc_id", "text")
+    texts = lines.select("entry", "line")
+    ties = texts.select(F.col("entry").alias("a"), F.col("entry").alias("b"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(L.signatures(lines)).count("split(") == 1
+    assert plan(L.marks(texts.limit(9), L.SHINGLE)).count("UTF-32") == 1
+    assert plan(L.verified(ties, texts)).count("UTF-32") == 2 and plan(L.verified(ties, texts)).count("array_intersect") == 1
